@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, sharding
+from . import bpe, exact_dedup, mixing, sharding
 from .common import read_table
 
 RANK_FILE, SHARDS = "byte_bpe_multi_50k.tiktoken", 8
@@ -52,13 +52,55 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
+    out = mixing.expected_copies(docs)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source
+), level AS (  -- a round: sources above their cap stop there, the others share what is left
+  SELECT 0 AS round, source, source_size, w, false AS capped FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, w, capped OR w * "left" / "weight" >= 2.0::DOUBLE * source_size
+  FROM (
+    SELECT *, 1.5::DOUBLE * sum(source_size) OVER (PARTITION BY round)
+              - 2.0::DOUBLE * coalesce(sum(source_size) FILTER (capped) OVER (PARTITION BY round), 0) AS "left",
+           sum(w) FILTER (NOT capped) OVER (PARTITION BY round) AS "weight"
+    FROM level) WHERE round < (SELECT count(*) FROM s)
+), final AS (
+  SELECT source, source_size, CASE WHEN capped THEN 2.0::DOUBLE * source_size ELSE w * "left" / "weight" END AS target
+  FROM (
+    SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) FILTER (capped) OVER (), 0) AS "left",
+           sum(w) FILTER (NOT capped) OVER () AS "weight"
+    FROM level WHERE round = (SELECT count(*) FROM s))
+), placed AS (
+  SELECT doc_id, size, source_size, target, d.source,
+         row_number() OVER (PARTITION BY d.source ORDER BY size, md5('17:' || coalesce(doc_id::VARCHAR, '')), doc_id) AS pos,
+         ('0x' || substr(md5('17:source:' || coalesce(d.source, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS off,
+         CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate
+  FROM d JOIN final f ON d.source IS NOT DISTINCT FROM f.source
+)
+SELECT doc_id, size, source_size, target,
+       ((floor(off + rate * pos) - floor(off + rate * (pos - 1)))::BIGINT * size)::BIGINT AS taken
+FROM placed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_bpe": op2_bpe,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op8_mixing": OP8_SQL}
