@@ -22,6 +22,8 @@ from .common import drop_outputs
 BUCKET_BYTES = 64 << 20
 #: Prefix sums over buckets are taken within groups of so many, then over the groups.
 GROUP = 1024
+#: Offsets (24 bytes a bucket) are broadcast up to so many buckets, 64 TB of text; beyond that they are joined by a shuffle.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def shard_rows(
@@ -59,6 +61,9 @@ def shard_rows(
     groups = groups.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     offsets = counts.join(groups, "_part").select("_bucket", (F.col("_below") + F.col("_before")).alias("_offset"))
 
+    if buckets <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
+
     columns = [F.col(f"`{c}`") for c in docs.columns]
     dealt = (
         docs.withColumn("_bucket", bucket)
