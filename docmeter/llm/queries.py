@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, mixing, secret_scan, sharding
 from .common import read_table
 
 RANK_FILE, SHARDS = "byte_bpe_multi_50k.tiktoken", 8
@@ -93,12 +93,29 @@ FROM placed
 """
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.withColumn("base", F.filter("spans", lambda x: x["kind"] < 3)).select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"),
+        secret_scan.joined("spans").alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_bpe": op2_bpe,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_mixing": op8_mixing,
+        "op9_secrets": op9_secrets,
     }
 
 
