@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, secret_scan, sharding
+from . import ann, bpe, exact_dedup, mixing, secret_scan, sharding
 from .common import read_table
 
 RANK_FILE, SHARDS = "byte_bpe_multi_50k.tiktoken", 8
@@ -109,6 +109,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -116,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op8_mixing": op8_mixing,
         "op9_secrets": op9_secrets,
+        "op10_ann": op10_ann,
     }
 
 
