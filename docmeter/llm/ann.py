@@ -32,7 +32,7 @@ class Settings:
     sample: int = 20_000
     cells: int = 64
     #: Share of the cells that a query looks into.
-    probe: float = 0.45
+    probe: float = 0.72
     #: Components a subspace; four bits each.
     sub: int = 2
     #: Candidates of a block that are reranked, as a multiple of k.
