@@ -9,13 +9,21 @@ are then checked on full bytes: texts of one digest that differ are told apart.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import ASCII_SPACE, scratch_path
 
+#: Least number of state stores, and the bytes of input above which there is another one. A store takes 5 MB of disk even
+#: when it is nearly empty, and their number is fixed for the life of a stream, whatever batch queries shuffle by.
+STATE_STORES, STORE_BYTES = 48, 256 << 20
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming"
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -56,9 +64,8 @@ def keeper_state(
     def emit(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/changes/epoch={epoch}")
 
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
+    stores = max(STATE_STORES, _bytes(spark, path) // STORE_BYTES)
+    with _settings(spark, {f"{_STATE}.stateStore.providerClass": ROCKSDB, f"{_STATE}.internal.stateStore.partitions": str(stores)}):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", f"{out}/stream")
@@ -67,8 +74,6 @@ def keeper_state(
             .start()
         )
         query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     shape = state.schema
     if not _exists(spark, f"{out}/changes"):
         return spark.createDataFrame([], shape)
@@ -76,6 +81,23 @@ def keeper_state(
     return changes.groupBy("digest").agg(F.max_by("keep", "epoch").alias("keep"), F.max("n").alias("n"))
 
 
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
