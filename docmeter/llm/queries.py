@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, mixing, secret_scan, sharding
+from . import ann, bpe, exact_dedup, language_id, mixing, secret_scan, sharding, toxicity
 from .common import read_table
 
 RANK_FILE, SHARDS = "byte_bpe_multi_50k.tiktoken", 8
@@ -40,6 +40,25 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_held_out(4, 2), F.lit(False))
+    model = language_id.learn(docs.where(~held_out))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_held_out(5, 0), F.lit(False))
+    index = toxicity.learn(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.classify(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -117,6 +136,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_bpe": op2_bpe,
+        "op3_langid": op3_langid,
+        "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_mixing": op8_mixing,
         "op9_secrets": op9_secrets,
