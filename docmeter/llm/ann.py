@@ -29,7 +29,7 @@ from .common import materialize
 class Settings:
     """``sample`` bounds the rows the index is fitted on; every row is coded and searched."""
 
-    sample: int = 20_000
+    sample: int = 8_192
     cells: int = 64
     #: Share of the cells that a query looks into.
     probe: float = 0.72
@@ -74,8 +74,12 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(1)[None, :] - 2 * x @ centres.T, axis=1)
 
 
-def encode(model_books: np.ndarray, x: np.ndarray, eta: float, sweeps: int = 2) -> np.ndarray:
-    """Codes by coordinate descent on |r|^2 + (eta - 1) <r, x/|x|>^2, r being the residual."""
+def encode(books: np.ndarray, x: np.ndarray, eta: float, sweeps: int = 2, rows: int = 1024) -> np.ndarray:
+    """Codes by coordinate descent on |r|^2 + (eta - 1) <r, x/|x|>^2, r being the residual; so many rows at a time."""
+    return np.concatenate([_encode(books, x[i : i + rows], eta, sweeps) for i in range(0, len(x), rows)])
+
+
+def _encode(model_books: np.ndarray, x: np.ndarray, eta: float, sweeps: int) -> np.ndarray:
     m, _, s = model_books.shape
     parts = x.reshape(len(x), m, s)
     unit = parts / np.linalg.norm(x, axis=1)[:, None, None]
@@ -144,16 +148,12 @@ def _unpack(packed: np.ndarray, m: int) -> np.ndarray:
 
 
 def _top(scores: np.ndarray, r: int) -> list[np.ndarray]:
-    """Of each row the columns of its r largest scores; of ties at the end the first columns."""
+    """Of each row the columns of its r largest scores, and of all that tie with the last: codes can't tell these apart."""
     n = scores.shape[1]
     if n <= r:
         return [np.arange(n)] * len(scores)
     edge = np.partition(scores, n - r, axis=1)[:, n - r]
-    out = []
-    for row, low in zip(scores, edge, strict=True):
-        over = np.flatnonzero(row > low)
-        out.append(np.concatenate([over, np.flatnonzero(row == low)[: r - len(over)]]))
-    return out
+    return [np.flatnonzero(row >= low) for row, low in zip(scores, edge, strict=True)]
 
 
 def search(
@@ -176,8 +176,8 @@ def search(
         return empty
     d = lengths["d"]
     rows = rows.where(F.size("vec") == d)
-    drawn = rows.orderBy(F.xxhash64(F.lit(s.seed), "id"), "id").limit(s.sample).select("vec").collect()
-    model = fit(np.array([r["vec"] for r in drawn], dtype=np.float64), s)
+    drawn = rows.orderBy(F.xxhash64(F.lit(s.seed), "id"), "id").limit(s.sample).select("vec").toArrow()
+    model = fit(drawn.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, d), s)
     books, pad = model.books, -d % s.sub
     m = len(books)
     shared = spark.sparkContext.broadcast(model)  # cells x d and 16 x d numbers
@@ -220,6 +220,8 @@ def search(
         out = []
         if len(left) and len(right):
             left = left.sort_values("id", kind="stable")
+            # Of equal vectors only the k + 1 smallest ids can be among the nearest k.
+            left = left[left.groupby("vec").cumcount() <= k]
             ids = left["id"].to_numpy()
             codes = _unpack(np.stack([np.frombuffer(c, np.uint8) for c in left["code"]]), m)
             x = np.stack([np.frombuffer(v) for v in left["vec"]])

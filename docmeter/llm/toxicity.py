@@ -6,8 +6,8 @@ weight of each block of postings, blocks are taken by falling upper bound, and t
 ends when no block left can reach the k-th best cosine found.
 
 The vectors' terms are words and beginnings of words whose share of toxic examples differs
-from that of the others by more than chance (likelihood-ratio test); without this choice
-the cosine of long texts is ruled by their many neutral words.
+from that of the others by more than chance (likelihood-ratio test) and by much (odds
+ratio); without this choice the cosine of long texts is ruled by their many neutral words.
 """
 
 from __future__ import annotations
@@ -35,10 +35,12 @@ class Settings:
     #: Terms that the vectors have at most, and the least likelihood ratio of a term.
     terms: int = 8192
     least_ratio: float = 11.0
+    #: Least odds ratio of a term, either way: without it come neutral words that longer texts hold more often.
+    least_odds: float = 6.0
     neighbours: int = 15
     block: int = 64
     #: Weight of the share of toxic examples against the neighbours' weights.
-    prior: float = 0.25
+    prior: float = 1.0
     seed: int = 17
 
 
@@ -59,12 +61,13 @@ class Index:
         for i, vector in enumerate(vectors):
             for t, w in vector.items():
                 lists.setdefault(self.terms[t], []).append((i, w))
+        self.n_blocks = len(ids) // s.block + 1
         self.postings, self.blocks = {}, {}
         for t, found in lists.items():
             who, weight = np.array([f[0] for f in found]), np.array([f[1] for f in found])
             block = who // s.block
             first = np.flatnonzero(np.r_[True, np.diff(block) > 0])
-            self.postings[t] = (who, weight, np.r_[first, len(who)])
+            self.postings[t] = (who, weight, np.searchsorted(block, np.arange(self.n_blocks + 1)))
             self.blocks[t] = (block[first], np.maximum.reduceat(weight, first))
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
@@ -76,28 +79,26 @@ class Index:
     def nearest(self, vector: dict[str, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest with a cosine over 0; ties to the smaller number."""
         query = [(self.terms[t], w) for t, w in vector.items() if self.terms[t] in self.postings]
-        n_blocks = len(self.ids) // self.s.block + 1
-        bound = np.zeros(n_blocks)
+        bound = np.zeros(self.n_blocks)
         for t, w in query:
             block, top = self.blocks[t]
             bound[block] += w * top
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound[order] > 0)]
         who, cos = np.empty(0, np.int64), np.empty(0)
-        step = 16
-        for at in range(0, len(order), step):
-            some = np.sort(order[at : at + step])
+        at, step = 0, 8
+        while at < len(order):
             if len(who) >= k and bound[order[at]] < cos[-1] - 1e-12:
                 break
+            some = np.sort(order[at : at + step])
+            at, step = at + step, 2 * step
             score = np.zeros((len(some), self.s.block))
             for t, w in query:
-                block, _ = self.blocks[t]
                 ids, weights, first = self.postings[t]
-                hit = np.flatnonzero(np.isin(block, some))
-                if len(hit):
-                    spread = np.concatenate([np.arange(first[h], first[h + 1]) for h in hit])
-                    row = np.searchsorted(some, ids[spread] // self.s.block)
-                    score[row, ids[spread] % self.s.block] += w * weights[spread]
+                begin, n = first[some], first[some + 1] - first[some]
+                if total := n.sum():
+                    spread = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(total)
+                    score[np.repeat(np.arange(len(some)), n), ids[spread] % self.s.block] += w * weights[spread]
             row, col = np.nonzero(score)
             who = np.concatenate([who, some[row] * self.s.block + col])
             cos = np.concatenate([cos, score[row, col]])
@@ -145,6 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n0, n1 = float(totals["0"]), float(totals["1"])
     ratio = _ratio_column(F.col("1"), n1, F.col("0"), n0)
     chosen = seen.where("term <> '' AND `0` + `1` >= 3").withColumn("r", ratio).where(F.col("r") >= s.least_ratio)
+    odds = F.log((F.col("1") + 0.5) / (n1 - F.col("1") + 0.5)) - F.log((F.col("0") + 0.5) / (n0 - F.col("0") + 0.5))
+    chosen = chosen.where(F.abs(odds) >= math.log(s.least_odds))
     chosen = chosen.orderBy(F.desc("r"), "term").limit(s.terms).collect()
     idf = {r["term"]: math.log(1 + (n0 + n1) / (r["0"] + r["1"])) for r in chosen}
 
