@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language_id, mixing, secret_scan, sharding, toxicity
+from . import ann, bpe, exact_dedup, jaccard_join, language_id, mixing, secret_scan, sharding, toxicity
 from .common import read_table
 
 RANK_FILE, SHARDS = "byte_bpe_multi_50k.tiktoken", 8
@@ -52,6 +52,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_held_out(5, 0), F.lit(False))
@@ -137,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_bpe": op2_bpe,
         "op3_langid": op3_langid,
+        "op4_jaccard": op4_jaccard,
         "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_mixing": op8_mixing,
