@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, jaccard_join, language_id, mixing, secret_scan, sharding, toxicity
+from . import ann, bpe, exact_dedup, jaccard_join, language_id, line_dedup, mixing, secret_scan, sharding, toxicity
 from .common import read_table
 
 RANK_FILE, SHARDS = "byte_bpe_multi_50k.tiktoken", 8
@@ -75,6 +75,11 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.duplicate_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("drop").alias("n_dropped"), F.col("drop").alias("dropped_lines"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
     out = mixing.expected_copies(docs)
@@ -144,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard": op4_jaccard,
         "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_line_dedup": op7_line_dedup,
         "op8_mixing": op8_mixing,
         "op9_secrets": op9_secrets,
         "op10_ann": op10_ann,
