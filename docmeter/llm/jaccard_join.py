@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .linking import POSTING, link, shared_postings, similar_sets, size_room, verified
+from .linking import POSTING, jaccard_rule, link, needed_keys, shared_postings, similar_sets, verified
 
 WORDS, THRESHOLD = 5, 80
 #: The sketch has a counter for this many bytes of text, within these bounds (powers of two).
@@ -160,13 +160,15 @@ def jaccard_components(
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(words)
         for b in batches:
-            s = [hasher.shingles(t) for t in b["text"]]
+            s = [x for x in (hasher.shingles(t) for t in b["text"]) if len(x)]
             yield pd.DataFrame({"item": [Hasher.item(x) for x in s], "body": [x.tobytes() for x in s]})
 
-    needed = shared.select("item").distinct().join(first, "item").select("key")
-    sets = texts.join(needed, "key", "left_semi").mapInPandas(sets_of, "item long, body binary")
-    sets = materialize(sets, "jaccard-sets").dropDuplicates(["item"])
-    linked = link(shared, size_room(threshold), lambda p: verified(p, sets, similar_sets(threshold)), "jaccard")
+    def verify(pairs: DataFrame) -> DataFrame:
+        needed = needed_keys(pairs, first, F.col("key"))
+        sets = materialize(texts.join(needed, "key", "left_semi").mapInPandas(sets_of, "item long, body binary"), "jaccard-sets")
+        return materialize(verified(pairs, sets.dropDuplicates(["item"]), similar_sets(threshold)), "jaccard-links")
+
+    linked = link(shared, jaccard_rule(threshold), verify, "jaccard")
 
     named = first.join(linked.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
     names = named.groupBy("root").agg(F.min("key").alias("component_id"))

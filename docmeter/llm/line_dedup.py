@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .linking import POSTING, link, shared_postings, similar_sets, verified
+from .linking import POSTING, Rule, link, needed_keys, shared_postings, similar_sets, verified
 
 CHARS, THRESHOLD, BANDS, BAND_ROWS = 5, 80, 13, 7
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -94,18 +94,25 @@ def duplicate_lines(
     ``chars`` are one shingle. Lines of any length are compared whole; an empty table gives an empty table.
     """
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    place = "key long, th long, line int, item long"
+    place = "key long, th long, line int, item long, n_lines int, head boolean"
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [_lines(t) for t in b["text"]]
+            # a document without lines has one row, without an item
+            found = [_lines(t) or [(-1, "")] for t in b["text"]]
             sizes = [len(f) for f in found]
+            line = np.array([i for f in found for i, _ in f], np.int32)
+            items = np.array([line_item(x) for f in found for _, x in f], np.int64)
+            head = np.zeros(len(line), bool)
+            head[np.cumsum([0, *sizes[:-1]])] = True
             yield pd.DataFrame(
                 {
                     "key": b["key"].repeat(sizes).array,
                     "th": b["th"].repeat(sizes).array,
-                    "line": np.array([i for f in found for i, _ in f], np.int32),
-                    "item": np.array([line_item(x) for f in found for _, x in f], np.int64),
+                    "line": line,
+                    "item": pd.Series(items, dtype="Int64").mask(line < 0).array,
+                    "n_lines": np.repeat(np.array([sum(i >= 0 for i, _ in f) for f in found], np.int32), sizes),
+                    "head": head,
                 }
             )
 
@@ -131,8 +138,8 @@ def duplicate_lines(
                     )
 
     shared = shared_postings(texts.mapInPandas(bands, POSTING), "line-bands")
-    first = seen.groupBy("item").agg(F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "th", "line")).alias("at"), F.count(F.lit(1)).alias("c"))
-    needed = shared.select("item").distinct().join(first, "item").groupBy(F.col("at.key").alias("key"), F.col("at.th").alias("th")).agg(F.collect_list("item").alias("items"))
+    at = F.struct(F.col("key").isNull().alias("no_key"), "key", "th", "line")
+    first = materialize(seen.where("item IS NOT NULL").groupBy("item").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("c")), "line-items")
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,15 +150,17 @@ def duplicate_lines(
                     out[item] = np.unique(shingle_hashes([found[item]], chars)[0]).tobytes()
             yield pd.DataFrame({"item": np.fromiter(out, np.int64, len(out)), "body": list(out.values())})
 
-    same = texts["key"].eqNullSafe(needed["key"]) & (texts["th"] == needed["th"])
-    sets = texts.join(needed, same).select(texts["text"], "items").mapInPandas(bodies, "item long, body binary")
-    sets = materialize(sets, "line-sets").dropDuplicates(["item"])
+    def verify(pairs: DataFrame) -> DataFrame:
+        needed = needed_keys(pairs, first, F.col("at.key").alias("key"), F.col("at.th").alias("th"), F.col("item"))
+        needed = needed.groupBy("key", "th").agg(F.collect_list("item").alias("items"))
+        same = texts["key"].eqNullSafe(needed["key"]) & (texts["th"] == needed["th"])
+        sets = texts.join(needed, same).select(texts["text"], "items").mapInPandas(bodies, "item long, body binary")
+        sets = materialize(sets, "line-sets").dropDuplicates(["item"])
+        return materialize(verified(pairs, sets, similar_sets(threshold)), "line-links")
 
-    def room(l: str, x: str):  # noqa: E741
-        # n counts shingles, not distinct ones, so it bounds nothing from below
-        return F.lit(True)
-
-    linked = link(shared, room, lambda p: verified(p, sets, similar_sets(threshold)), "lines")
+    # A band says nothing of sizes or places.
+    anything = Rule(lambda l, x: F.lit(True), lambda l, x: F.lit(True), "true", "true")  # noqa: E741
+    linked = link(shared, anything, verify, "lines")
 
     # Only lines that occur again, as they are or nearly so, can be dropped.
     again = first.join(linked.withColumnRenamed("node", "item"), "item", "left").join(linked.select(F.col("root").alias("r")).distinct(), F.col("item") == F.col("r"), "left")
@@ -162,16 +171,11 @@ def duplicate_lines(
         ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("th") == F.col("first.th")) & (F.col("line") == F.col("first.line")))
     )
     dropped = dropped.groupBy("key", "th").agg(F.array_sort(F.collect_set("line")).alias("drop"))
-    counts = seen.groupBy("key", "th").agg(F.countDistinct("line").cast("int").alias("n_lines"))
-
-    def match(other: DataFrame, k: str, t: str):
-        return F.col("key").eqNullSafe(other[k]) & (F.col("th") == other[t])
-
-    counts = counts.withColumnsRenamed({"key": "k1", "th": "t1"})
-    dropped = dropped.withColumnsRenamed({"key": "k2", "th": "t2"})
-    out = texts.select("key", "th").distinct().join(counts, match(counts, "k1", "t1"), "left").join(dropped, match(dropped, "k2", "t2"), "left")
+    every = seen.where("head").select("key", "th", "n_lines").distinct()
+    dropped = dropped.withColumnsRenamed({"key": "k", "th": "t"})
+    out = every.join(dropped, F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t")), "left")
     none = F.array().cast("array<int>")
-    return out.select(F.col("key").alias(key), F.col("th").alias("text_hash"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("drop", none).alias("drop"))
+    return out.select(F.col("key").alias(key), F.col("th").alias("text_hash"), "n_lines", F.coalesce("drop", none).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = True, **options) -> DataFrame:

@@ -11,6 +11,7 @@ where its sizes and positions leave room for the threshold.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,22 @@ from .components import components
 
 #: Postings of a list that one task compares with each other; longer lists are cut into blocks, and pairs of blocks compared.
 BLOCK = 512
+#: So many keys (a few numbers each, 64 MB at most) are broadcast.
+BROADCAST_KEYS = 1 << 20
 POSTING = "token long, item long, n int, pos int, hot boolean"
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Which pairs of a list are worth a look: by sizes (of structs l and x with n and pos), by room after a common token
+    (one token with room is enough), and by ``common`` tokens of sets of sizes n and m, for the first and the second round."""
+
+    sizes: Callable[[str, str], Column]
+    room: Callable[[str, str], Column]
+    enough: str
+    promising: str
+
+
 def shared_postings(postings: DataFrame, name: str) -> DataFrame:
     """Postings of tokens that several items have; ``hot`` tokens are known to be such and may be spread over tasks.
 
@@ -61,19 +75,30 @@ def _block(count: Column) -> Column:
     return F.pmod(F.xxhash64("token", "item"), F.ceil(count / BLOCK).cast("int")).cast("int")
 
 
-def leader_pairs(shared: DataFrame, room: Callable[[str, str], Column]) -> DataFrame:
-    """(a, b): each item with the first of its block of the list, where ``room`` allows."""
+def leader_pairs(shared: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): items with the first of their block of a list, where they meet often enough to be promising."""
     sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     blocked = shared.join(sizes, "token").withColumn("block", _block(F.col("c")))
     group = W.partitionBy("token", "block").orderBy("n", "item")
     lead = F.first(F.struct("item", "n", "pos")).over(group)
     pairs = blocked.withColumn("x", F.struct("item", "n", "pos")).withColumn("l", lead)
-    pairs = pairs.where(F.col("l.item") != F.col("x.item")).where(room("l", "x"))
-    return pairs.select(F.least("l.item", "x.item").alias("a"), F.greatest("l.item", "x.item").alias("b")).distinct()
+    pairs = pairs.where(F.col("l.item") != F.col("x.item")).where(rule.sizes("l", "x"))
+    return _counted(pairs, rule).where(F.col("room") & F.expr(rule.promising)).select("a", "b")
+
+
+def _counted(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """One row per pair: common tokens, sizes, and whether one of the tokens leaves room."""
+    ends = [F.least("l.item", "x.item").alias("a"), F.greatest("l.item", "x.item").alias("b")]
+    return pairs.groupBy(*ends).agg(
+        F.count(F.lit(1)).alias("common"), F.min("l.n").alias("n"), F.max("x.n").alias("m"), F.max(rule.room("l", "x")).alias("room")
+    )
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, room: Callable[[str, str], Column], tried: DataFrame) -> DataFrame:
-    """(a, b): pairs of a list that lie in different components and were not tried before."""
+def cross_pairs(shared: DataFrame, roots: DataFrame, rule: Rule, tried: DataFrame) -> DataFrame:
+    """(a, b): pairs of a list that lie in different components and were not tried before.
+
+    All lists that such a pair shares are compared here, so the count of its common tokens is whole.
+    """
     known = roots.withColumnRenamed("node", "item")
     rows = shared.join(known, "item", "left").withColumn("root", F.coalesce("root", "item"))
     mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"))
@@ -82,25 +107,33 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, room: Callable[[str, str],
     me = rows.select("token", "block", other.alias("o"), F.struct("item", "n", "pos", "root").alias("x"))
     left = me.where("block <= o").select("token", F.col("block").alias("i"), F.col("o").alias("j"), F.col("x").alias("l"))
     right = me.where("o <= block").select("token", F.col("o").alias("i"), F.col("block").alias("j"), F.col("x"))
-    # Within the block pair (i, j) of a token; for i = j each pair once.
-    once = (F.col("i") < F.col("j")) | (F.col("l.item") < F.col("x.item"))
-    pairs = left.join(right, ["token", "i", "j"]).where(once & (F.col("l.root") != F.col("x.root"))).where(room("l", "x"))
-    pairs = pairs.select(F.least("l.item", "x.item").alias("a"), F.greatest("l.item", "x.item").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    # Within the block pair (i, j) of a token; l is the smaller set, so each pair comes once for i = j.
+    smaller = F.struct("l.n", "l.item") < F.struct("x.n", "x.item")
+    once = (F.col("i") < F.col("j")) | smaller
+    pairs = left.join(right, ["token", "i", "j"]).where(once & (F.col("l.root") != F.col("x.root"))).where(rule.sizes("l", "x"))
+    pairs = pairs.select(F.when(smaller, F.col("l")).otherwise(F.col("x")).alias("l"), F.when(smaller, F.col("x")).otherwise(F.col("l")).alias("x"))
+    found = _counted(pairs, rule).where(F.col("room") & F.expr(rule.enough)).select("a", "b")
+    return found.join(tried, ["a", "b"], "left_anti")
 
 
-def link(shared: DataFrame, room: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def link(shared: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Components (node, root) of the links that ``verify`` (pairs a, b to linked pairs a, b) confirms."""
-    tried = materialize(leader_pairs(shared, room), f"{name}-leaders")
-    linked = materialize(verify(tried), f"{name}-links")
-    roots = components(linked)
-    more = materialize(cross_pairs(shared, roots, room, tried), f"{name}-rest")
+    tried = materialize(leader_pairs(shared, rule), f"{name}-leaders")
+    roots = components(verify(tried))
+    more = materialize(cross_pairs(shared, roots, rule, tried), f"{name}-rest")
     if more.isEmpty():
         return roots
     # Components of the first round stand for their links.
     return components(verify(more).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
+def needed_keys(pairs: DataFrame, first: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of the items that pairs hold; ``first`` has an item's row. Broadcast if they are few, else joined."""
+    items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+    keys = materialize(items.join(first, "item").select(*columns), "needed")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
     """The pairs whose sets (item, body) are similar; a body travels once for each pair that it is in."""
     a, b = (sets.select(F.col("item").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
@@ -115,20 +148,23 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: Callable[[bytes, bytes]
     return rows.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
 
-def size_room(threshold: int) -> Callable[[str, str], Column]:
-    """Room for 100 * |x & y| >= threshold * |x | y|, by sizes and by positions.
+def jaccard_rule(threshold: int) -> Rule:
+    """For 100 * |x & y| >= threshold * |x | y| over prefixes of n - ceil(threshold * n / 100) + 1 tokens.
 
-    With o the least overlap of two such sets, their first common token has at least o - 1 tokens after it in either.
+    With o the least overlap of two such sets, their first common token has at least o - 1 tokens after it in either; and
+    the prefix that ends first holds all their common tokens but those after it in its own set.
     """
+    t = threshold
+
+    def sizes(l: str, x: str) -> Column:  # noqa: E741
+        return F.expr(f"100 * least({l}.n, {x}.n) >= {t} * greatest({l}.n, {x}.n)")
 
     def room(l: str, x: str) -> Column:  # noqa: E741
-        return F.expr(
-            f"100 * least({l}.n, {x}.n) >= {threshold} * greatest({l}.n, {x}.n) AND "
-            f"({l}.n - {l}.pos) * {100 + threshold} >= {threshold} * ({l}.n + {x}.n) AND "
-            f"({x}.n - {x}.pos) * {100 + threshold} >= {threshold} * ({l}.n + {x}.n)"
-        )
+        after = [f"({s}.n - {s}.pos) * {100 + t} >= {t} * ({l}.n + {x}.n)" for s in (l, x)]
+        return F.expr(" AND ".join(after))
 
-    return room
+    enough = f"common >= ceil({t} * (n + m) / {100 + t}) - ceil({t} * greatest(n, m) / 100) + 1"
+    return Rule(sizes, room, enough, "common * 50 >= n")
 
 
 def similar_sets(threshold: int) -> Callable[[bytes, bytes], bool]:
