@@ -1,8 +1,8 @@
 """Links between items that share index entries, without all pairs of a group.
 
 The index is a table of postings (token, item, n, pos): ``n`` is the item's set size, ``pos``
-the token's position in the item's ordered set. Links are found in two rounds. In the first,
-each item of a list is compared with the list's leader only. Items that prove linked then
+the token's position in the item's ordered set. In the first rounds each item of a list is
+compared with the list's leader only, another one each time. Items that prove linked then
 share their answers: what is linked to one is in the component of the other, so in the second
 round only pairs of different components are compared. Either way a pair comes up only
 where its sizes and positions leave room for the threshold.
@@ -16,7 +16,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -24,6 +23,8 @@ from .components import components
 
 #: Postings of a list that one task compares with each other; longer lists are cut into blocks, and pairs of blocks compared.
 BLOCK = 512
+#: Rounds of comparisons with leaders before the pairs that are left are compared.
+ROUNDS = 3
 #: So many keys (a few numbers each, 64 MB at most) are broadcast.
 BROADCAST_KEYS = 1 << 20
 POSTING = "token long, item long, n int, pos int, hot boolean"
@@ -71,17 +72,21 @@ def shared_postings(postings: DataFrame, name: str) -> DataFrame:
     return materialize(dealt.mapInArrow(run, POSTING).select("token", "item", "n", "pos"), name)
 
 
-def _block(count: Column) -> Column:
-    return F.pmod(F.xxhash64("token", "item"), F.ceil(count / BLOCK).cast("int")).cast("int")
+def index_lists(shared: DataFrame, name: str) -> DataFrame:
+    """(token, c, block, xs): the lists, those longer than ``BLOCK`` cut into blocks by a hash; c is the whole list's length."""
+    sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    block = F.pmod(F.xxhash64("token", "item"), F.ceil(F.col("c") / BLOCK).cast("int")).cast("int")
+    blocked = shared.join(sizes, "token").withColumn("block", block)
+    return materialize(blocked.groupBy("token", "c", "block").agg(F.collect_list(F.struct("item", "n", "pos")).alias("xs")), name)
 
 
-def leader_pairs(shared: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): items with the first of their block of a list, where they meet often enough to be promising."""
-    sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    blocked = shared.join(sizes, "token").withColumn("block", _block(F.col("c")))
-    group = W.partitionBy("token", "block").orderBy("n", "item")
-    lead = F.first(F.struct("item", "n", "pos")).over(group)
-    pairs = blocked.withColumn("x", F.struct("item", "n", "pos")).withColumn("l", lead)
+def leader_pairs(lists: DataFrame, rule: Rule, seed: int) -> DataFrame:
+    """(a, b): items with the leader of their block, where they meet often enough to be promising.
+
+    The leader is the first by a seeded hash, so an item leads all the lists that it is in, or few; no list is moved.
+    """
+    drawn = F.transform("xs", lambda x: F.struct(F.xxhash64(x["item"], F.lit(seed)).alias("h"), x["item"].alias("item"), x["n"].alias("n"), x["pos"].alias("pos")))
+    pairs = lists.where(F.size("xs") > 1).select(F.array_min(drawn).alias("l"), F.explode("xs").alias("x"))
     pairs = pairs.where(F.col("l.item") != F.col("x.item")).where(rule.sizes("l", "x"))
     return _counted(pairs, rule).where(F.col("room") & F.expr(rule.promising)).select("a", "b")
 
@@ -90,19 +95,19 @@ def _counted(pairs: DataFrame, rule: Rule) -> DataFrame:
     """One row per pair: common tokens, sizes, and whether one of the tokens leaves room."""
     ends = [F.least("l.item", "x.item").alias("a"), F.greatest("l.item", "x.item").alias("b")]
     return pairs.groupBy(*ends).agg(
-        F.count(F.lit(1)).alias("common"), F.min("l.n").alias("n"), F.max("x.n").alias("m"), F.max(rule.room("l", "x")).alias("room")
+        F.count(F.lit(1)).alias("common"), F.min(F.least("l.n", "x.n")).alias("n"), F.max(F.greatest("l.n", "x.n")).alias("m"), F.max(rule.room("l", "x")).alias("room")
     )
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, rule: Rule, tried: DataFrame) -> DataFrame:
+def cross_pairs(lists: DataFrame, roots: DataFrame, rule: Rule, tried: DataFrame) -> DataFrame:
     """(a, b): pairs of a list that lie in different components and were not tried before.
 
     All lists that such a pair shares are compared here, so the count of its common tokens is whole.
     """
     known = roots.withColumnRenamed("node", "item")
-    rows = shared.join(known, "item", "left").withColumn("root", F.coalesce("root", "item"))
-    mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    rows = rows.join(mixed.where("r0 <> r1").select("token", "c"), "token").withColumn("block", _block(F.col("c")))
+    rows = lists.select("token", "c", "block", F.inline("xs")).join(known, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    rows = rows.join(mixed.where("r0 <> r1").select("token"), "token")
     other = F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / BLOCK).cast("int") - 1))
     me = rows.select("token", "block", other.alias("o"), F.struct("item", "n", "pos", "root").alias("x"))
     left = me.where("block <= o").select("token", F.col("block").alias("i"), F.col("o").alias("j"), F.col("x").alias("l"))
@@ -116,15 +121,33 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, rule: Rule, tried: DataFram
     return found.join(tried, ["a", "b"], "left_anti")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    for end in "ab":
+        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(named, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.where("root_a <> root_b").select("a", "b")
+
+
 def link(shared: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Components (node, root) of the links that ``verify`` (pairs a, b to linked pairs a, b) confirms."""
-    tried = materialize(leader_pairs(shared, rule), f"{name}-leaders")
+    lists = index_lists(shared, f"{name}-lists")
+    tried = materialize(leader_pairs(lists, rule, 0), f"{name}-leaders")
     roots = components(verify(tried))
-    more = materialize(cross_pairs(shared, roots, rule, tried), f"{name}-rest")
-    if more.isEmpty():
-        return roots
-    # Components of the first round stand for their links.
-    return components(verify(more).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    for seed in range(1, ROUNDS):
+        more = _apart(leader_pairs(lists, rule, seed), roots).join(tried, ["a", "b"], "left_anti")
+        more = materialize(more, f"{name}-leaders")
+        if more.isEmpty():
+            continue
+        # Components so far stand for their links.
+        roots = components(verify(more).unionByName(_edges(roots)))
+        tried = tried.unionByName(more)
+    rest = materialize(cross_pairs(lists, roots, rule, tried), f"{name}-rest")
+    return roots if rest.isEmpty() else components(verify(rest).unionByName(_edges(roots)))
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def needed_keys(pairs: DataFrame, first: DataFrame, *columns: Column) -> DataFrame:
