@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .linking import POSTING, Rule, link, needed_keys, shared_postings, similar_sets, verified
+from .linking import POSTING, Rule, link, needed_keys, shared_postings, verified
 
 CHARS, THRESHOLD, BANDS, BAND_ROWS = 5, 80, 13, 7
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,17 +43,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character shingles of non-empty lines, and the line of each; a shorter line is one shingle."""
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     padded = [x if len(x) >= chars else x.ljust(chars, "\0") for x in lines]
-    lengths = np.maximum(lengths, chars)
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = lengths - chars + 1
-    line = np.repeat(np.arange(len(lines)), n)
-    start = np.arange(n.sum()) + np.repeat(np.cumsum(lengths) - lengths - np.cumsum(n) + n, n)
-    out = np.zeros(len(start), np.uint64)
-    for i in range(chars):
-        out = out * np.uint64(1_000_003) + codes[start + i]
-    return _mix(out), line
+    size = len(codes) - chars + 1
+    rolled = codes[:size].copy()
+    for i in range(1, chars):
+        rolled *= np.uint64(1_000_003)
+        rolled += codes[i : i + size]
+    # windows over the end of a line are left out
+    inside = np.ones(size, bool)
+    ends = np.cumsum(lengths)[:-1]
+    for i in range(1, chars):
+        inside[ends - i] = False
+    return _mix(rolled[inside]), np.repeat(np.arange(len(padded)), lengths - chars + 1)
 
 
 def band_hashes(lines: list[str], chars: int = CHARS, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
@@ -62,26 +65,40 @@ def band_hashes(lines: list[str], chars: int = CHARS, bands: int = BANDS, rows:
     hashes, line = shingle_hashes(lines, chars)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     least = np.full(len(lines) * bins, empty)
-    np.minimum.at(least, line * bins + (hashes % np.uint64(bins)).astype(np.int64), hashes // np.uint64(bins))
+    own = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+    np.minimum.at(least, line * bins + own.astype(np.int64), hashes)
     least = least.reshape(len(lines), bins)
-    filled = least.copy()
-    gap = filled == empty
-    for step in range(1, bins):  # an empty bin takes the next full one to the right, marked by the distance
-        if not gap.any():
-            break
-        other = np.roll(least, -step, axis=1)
-        take = gap & (other != empty)
-        filled[take] = _mix(other[take] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
-        gap &= ~take
+    # an empty bin takes the next full one to the right, around the end, marked by the distance
+    place = np.where(least != empty, np.arange(bins), 2 * bins)
+    twice = np.concatenate([place, place + bins], axis=1)
+    following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    away = (following - np.arange(bins)).astype(np.uint64)
+    taken = np.take_along_axis(least, following % bins, axis=1)
+    filled = np.where(away == 0, least, _mix(taken + away * _GOLD))
     out = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.ones((len(lines), 1), np.uint64)
     for i in range(rows):
         out = _mix(out + filled[:, i::rows])
     return out
 
 
+def similar_lines(threshold: int, chars: int):
+    """Exact Jaccard of the two lines' character shingles."""
+
+    def cut(line: str) -> set[str]:
+        line = normal_line(line)
+        return {line[i : i + chars] for i in range(max(1, len(line) - chars + 1))}
+
+    def similar(x: str, y: str) -> bool:
+        a, b = cut(x), cut(y)
+        both = len(a & b)
+        return 100 * both >= threshold * (len(a) + len(b) - both)
+
+    return similar
+
+
 def _lines(text: str | None) -> list[tuple[int, str]]:
     """Place and normalised form of the lines that aren't blank."""
-    return [(i, x) for i, x in enumerate(map(normal_line, (text or "").split("\n"))) if x]
+    return [(i, y) for i, x in enumerate((text or "").lower().split("\n")) if (y := " ".join(x.split()))]
 
 
 def duplicate_lines(
@@ -141,22 +158,12 @@ def duplicate_lines(
     at = F.struct(F.col("key").isNull().alias("no_key"), "key", "th", "line")
     first = materialize(seen.where("item IS NOT NULL").groupBy("item").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("c")), "line-items")
 
-    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: dict[int, bytes] = {}
-            for t, wanted in zip(b["text"], b["items"], strict=True):
-                found = {line_item(x): x for _, x in _lines(t)}
-                for item in wanted:
-                    out[item] = np.unique(shingle_hashes([found[item]], chars)[0]).tobytes()
-            yield pd.DataFrame({"item": np.fromiter(out, np.int64, len(out)), "body": list(out.values())})
-
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = needed_keys(pairs, first, F.col("at.key").alias("key"), F.col("at.th").alias("th"), F.col("item"))
-        needed = needed.groupBy("key", "th").agg(F.collect_list("item").alias("items"))
-        same = texts["key"].eqNullSafe(needed["key"]) & (texts["th"] == needed["th"])
-        sets = texts.join(needed, same).select(texts["text"], "items").mapInPandas(bodies, "item long, body binary")
-        sets = materialize(sets, "line-sets").dropDuplicates(["item"])
-        return materialize(verified(pairs, sets, similar_sets(threshold)), "line-links")
+        needed = needed_keys(pairs, first, F.col("at.key").alias("k"), F.col("at.th").alias("t"), F.col("at.line").alias("line"), F.col("item"))
+        same = F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))
+        body = F.get(F.split("text", "\n"), F.col("line"))
+        found = materialize(texts.join(needed, same).select("item", body.alias("body")), "line-bodies").dropDuplicates(["item"])
+        return materialize(verified(pairs, found, similar_lines(threshold, chars)), "line-links")
 
     # A band says nothing of sizes or places.
     anything = Rule(lambda l, x: F.lit(True), lambda l, x: F.lit(True), "true", "true")  # noqa: E741

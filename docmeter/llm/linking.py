@@ -157,7 +157,7 @@ def needed_keys(pairs: DataFrame, first: DataFrame, *columns: Column) -> DataFra
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similar: Callable) -> DataFrame:
     """The pairs whose sets (item, body) are similar; a body travels once for each pair that it is in."""
     a, b = (sets.select(F.col("item").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
     rows = pairs.join(a, "a").join(b, "b")
