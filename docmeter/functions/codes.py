@@ -105,6 +105,50 @@ def td3_errors(line: Column) -> Column:
     return F.when(F.length(line) == 44, F.array_compact(F.array(*wrong))).otherwise(F.array(F.lit("length")))
 
 
+def failed(*rules: tuple[str, Column]) -> Column:
+    """Names of the rules that don't hold; a rule that is null does not hold."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]))
+
+
+def elector_key(given: Column, first: Column, second: Column, birth: Column, state: Column, sex: Column, suffix: Column) -> Column:
+    """Initial and first inner consonant of both surnames and the given name, birth date, state number, sex, three digits."""
+    words = (significant_word(first), significant_word(second), significant_word(given, True))
+    consonant = lambda w: F.translate(F.coalesce(F.nullif(F.regexp_extract(F.substr(w, F.lit(2)), "[B-DF-HJ-NÑP-TV-Z]", 0), F.lit("")), F.lit("X")), "Ñ", "X")
+    letters = [F.concat(_initial(w), consonant(w)) for w in words]
+    return F.concat(*letters, F.date_format(birth, "yyMMdd"), F.lpad(state.cast("string"), 2, "0"), sex, suffix)
+
+
+def elector_key_errors(key: Column, birth: Column | None = None, sex: Column | None = None) -> Column:
+    """Structure alone, else date, state (1 to 32) and, where given, agreement with birth date and sex."""
+    part = lambda at, n: F.substring(key, at, n)
+    rules = [("date", F.try_to_date(F.concat(F.lit("20"), part(7, 6)), "yyyyMMdd").isNotNull()), ("state", part(13, 2).between("01", "32"))]
+    if birth is not None:
+        rules.append(("birth", part(7, 6) == F.date_format(birth, "yyMMdd")))
+    if sex is not None:
+        rules.append(("sex", part(15, 1) == sex))
+    ok = F.coalesce(key.rlike(r"^[A-Z]{6}\d{8}[HM]\d{3}$"), F.lit(False))
+    return F.when(ok, failed(*rules)).otherwise(F.array(F.lit("structure")))
+
+
+def td1_errors(l1: Column, l2: Column, l3: Column) -> Column:
+    """Three lines of 30 characters of an identity card: issuer, three check digits and the composite one, name line."""
+    at = lambda c, i, n: F.substring(c, i, n)
+    shape = F.lit(True)
+    for line in (l1, l2, l3):
+        shape &= F.coalesce(line.rlike("^[A-Z0-9<]{30}$"), F.lit(False))
+    whole = F.concat(at(l1, 6, 25), at(l2, 1, 7), at(l2, 9, 7), at(l2, 19, 11))
+    rules = (
+        ("issuer", l1.startswith("ID") & (at(l1, 3, 3) == "MEX") & (at(l2, 16, 3) == "MEX")),
+        ("number", mrz_check_digit(at(l1, 6, 9)) == at(l1, 15, 1)),
+        ("birth", mrz_check_digit(at(l2, 1, 6)) == at(l2, 7, 1)),
+        ("sex", at(l2, 8, 1).isin("M", "F", "X", "<")),
+        ("expiry", mrz_check_digit(at(l2, 9, 6)) == at(l2, 15, 1)),
+        ("composite", mrz_check_digit(whole) == at(l2, 30, 1)),
+        ("name", l3.rlike("^[A-Z].*<<")),
+    )
+    return F.when(shape, failed(*rules)).otherwise(F.array(F.lit("structure")))
+
+
 def hash_unit(key: Column) -> Column:
     """The first eight bytes of SHA-256 as a number in [0, 1)."""
     return F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("double") / F.lit(2.0**64)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docmeter.functions import codes as C
 from docmeter.functions import dates as D
+from docmeter.functions import geometry
 from docmeter.functions import text as T
 from docmeter.operators import layout, rules
 from docmeter.sources.tables import read_table as table
@@ -97,6 +98,25 @@ def long_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", D.spanish_long_date(t).alias("day"))
 
 
+def elector_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys built for customers, some with another's sex or an impossible state."""
+    c = table(spark, d, "customer")
+    birth, k = F.date_add(F.lit("1960-01-01").cast("date"), (F.col("c_custkey") % 12000).cast("int")), F.col("c_custkey") % 6
+    key = C.elector_key(F.lit("ANA"), F.lit("LOPEZ"), F.lit("MORA"), birth, F.when(k == 1, 77).otherwise(14), F.when(k == 2, "H").otherwise("M"), F.lit("100"))
+    c = c.select("c_custkey", birth.alias("birth"), F.explode(F.array(F.when(k == 3, F.lower(key)).otherwise(key))).alias("key"))
+    return c.select("c_custkey", "key", F.array_join(C.elector_key_errors(F.col("key"), F.col("birth"), F.lit("M")), ",").alias("errors"))
+
+
+def projected_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of parts under a shift and a doubling, by order of the part's size."""
+    p = table(spark, d, "part")
+    x = F.col("p_size").cast("double")
+    fields = p.select(F.col("p_partkey").alias("sample_id"), (F.col("p_partkey") % 2).alias("page_index"), F.struct(x.alias("x0"), (x + 1).alias("y0"), (x + 4).alias("x1"), (x + 3).alias("y1")).alias("box"))
+    matrix = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in ((2, 0, 10), (0, 2, -1), (0, 0, 1))])
+    log = p.select(F.col("p_partkey").alias("sample_id"), (F.col("p_partkey") % 2).alias("page_index"), matrix.alias("matrix"))
+    return geometry.projected(fields, log).select("sample_id", "box_px.*")
+
+
 def passport_lines(spark: SparkSession, d: str) -> DataFrame:
     """Second lines of passports with one digit changed in each fifth: its checks must fail."""
     c = table(spark, d, "customer")
@@ -117,5 +137,8 @@ QUERIES = {
       WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-01') < -1 THEN 'dated in the future' END AS refused, make_date(year(o_orderdate), 12, 31) AS year_end,
       CASE WHEN make_date(year(o_orderdate), 12, 31) < DATE '1998-06-01' THEN 'expired' END AS expired FROM orders""",
     long_dates: "SELECT o_orderkey, try_strptime((1980 + o_orderkey % 40) || '-' || (o_orderkey % 12 + 1) || '-' || (o_orderkey % 31 + 1), '%Y-%m-%d')::DATE AS day FROM orders",
+    elector_keys: """SELECT c_custkey, CASE k WHEN 3 THEN lower(key) ELSE key END AS key, CASE k WHEN 1 THEN 'state' WHEN 2 THEN 'sex' WHEN 3 THEN 'structure' ELSE '' END AS errors FROM (SELECT c_custkey, c_custkey % 6 AS k,
+      'LPMRAN' || strftime((DATE '1960-01-01' + (c_custkey % 12000)::INT)::DATE, '%y%m%d') || CASE c_custkey % 6 WHEN 1 THEN '77' ELSE '14' END || CASE c_custkey % 6 WHEN 2 THEN 'H' ELSE 'M' END || '100' AS key FROM customer)""",
+    projected_boxes: """SELECT p_partkey AS sample_id, 2.0::DOUBLE * p_size + 10 AS x0, 2.0::DOUBLE * (p_size + 1) - 1 AS y0, 2.0::DOUBLE * (p_size + 4) + 10 AS x1, 2.0::DOUBLE * (p_size + 3) - 1 AS y1 FROM part""",
     passport_lines: """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'number,composite' ELSE '' END AS errors FROM customer""",
 }

@@ -1,7 +1,6 @@
 """Incremental counters and resumable collections as streams.
 
-The reference's counters are at-most-once; here a micro-batch is written by its number, so
-that a batch that is run again replaces what it wrote.
+A micro-batch is written by its number, so that a batch that is run again replaces what it wrote.
 """
 
 from __future__ import annotations
