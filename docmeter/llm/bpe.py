@@ -69,8 +69,15 @@ class Codec:
         return self.encoding.decode_bytes(np.frombuffer(bytes(ids), dtype="<u4").tolist())
 
 
+#: Rows of an Arrow batch: texts, ids and decoded bytes of a batch are held at once.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _read_ranks(spark: SparkSession, rank_file: str):
-    """The rank file's bytes as a broadcast: its size is that of the vocabulary, whatever the corpus is."""
+    """Keeps the session's Arrow batches small; the rank file's bytes as a broadcast: its size is that of the vocabulary, whatever the corpus is."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     with open(rank_file, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
