@@ -2,7 +2,7 @@
 
 The index is a table of postings (token, item, n, pos): ``n`` is the item's set size, ``pos``
 the token's position in the item's ordered set. In the first rounds each item of a list is
-compared with the list's leader only, another one each time. Items that prove linked then
+compared with a few leaders of the list only, others each time. Items that prove linked then
 share their answers: what is linked to one is in the component of the other, so in the second
 round only pairs of different components are compared. Either way a pair comes up only
 where its sizes and positions leave room for the threshold.
@@ -24,7 +24,7 @@ from .components import components
 #: Postings of a list that one task compares with each other; longer lists are cut into blocks, and pairs of blocks compared.
 BLOCK = 512
 #: Rounds of comparisons with leaders before the pairs that are left are compared.
-ROUNDS = 3
+ROUNDS, LEADERS = 2, 4
 #: So many keys (a few numbers each, 64 MB at most) are broadcast.
 BROADCAST_KEYS = 1 << 20
 POSTING = "token long, item long, n int, pos int, hot boolean"
@@ -81,12 +81,13 @@ def index_lists(shared: DataFrame, name: str) -> DataFrame:
 
 
 def leader_pairs(lists: DataFrame, rule: Rule, seed: int) -> DataFrame:
-    """(a, b): items with the leader of their block, where they meet often enough to be promising.
+    """(a, b): items with the leaders of their block, where they meet often enough to be promising.
 
-    The leader is the first by a seeded hash, so an item leads all the lists that it is in, or few; no list is moved.
+    The leaders are the first ones by a seeded hash, so an item leads all the lists that it is in, or few; no list is moved.
     """
     drawn = F.transform("xs", lambda x: F.struct(F.xxhash64(x["item"], F.lit(seed)).alias("h"), x["item"].alias("item"), x["n"].alias("n"), x["pos"].alias("pos")))
-    pairs = lists.where(F.size("xs") > 1).select(F.array_min(drawn).alias("l"), F.explode("xs").alias("x"))
+    led = lists.where(F.size("xs") > 1).select(F.explode(F.slice(F.array_sort(drawn), 1, LEADERS)).alias("l"), "xs")
+    pairs = led.select("l", F.explode("xs").alias("x"))
     pairs = pairs.where(F.col("l.item") != F.col("x.item")).where(rule.sizes("l", "x"))
     return _counted(pairs, rule).where(F.col("room") & F.expr(rule.promising)).select("a", "b")
 
