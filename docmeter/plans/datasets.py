@@ -78,12 +78,14 @@ def value_in_text(spark: SparkSession, d: str) -> DataFrame:
     The second to the sixth word of the passage are the join key (the first one may begin inside a word), so no cross join
     is needed; containment then decides.
     """
+    five = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(5)])
     words = F.split("body", " ")
-    five = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(5)])
     b = table(spark, d, "benchmark").select("item_id", T.plain_text(F.col("text")).alias("body")).where(F.size(words) >= 7)
-    b = b.select("item_id", F.col("body").alias("passage"), five(F.lit(1)).alias("key"))
+    b = b.select("item_id", F.col("body").alias("passage"), five(words, F.lit(1)).alias("key"))
     docs = table(spark, d, "documents").select("doc_id", T.plain_text(F.col("text")).alias("body"))
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 5)), five)
+    # The words are bound to a variable, so that the text is split once.
+    each = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - 5)), lambda i: five(w, i))
+    windows = F.get(F.transform(F.array(words), each), F.lit(0))
     hits = docs.select("doc_id", F.explode(windows).alias("key"))
     hits = hits.join(b, "key").select("doc_id", "item_id", "passage").distinct()
     return hits.join(docs, "doc_id").where(F.contains("body", F.col("passage"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
