@@ -60,8 +60,8 @@ def fuzzy_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Words of pages placed on a grid come back as their rows."""
-    words = F.posexplode(F.slice(F.split(T.collapse(F.regexp_replace("html", "<[^>]+>", " ")), " "), 1, 60)).alias("i", "text")
+    """All words of pages placed on a grid come back as their rows."""
+    words = F.posexplode(F.split(T.collapse(F.regexp_replace("html", "<[^>]+>", " ")), " ")).alias("i", "text")
     w = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), words)
     top = F.floor(F.col("i") / 6) * 12.0 + (F.col("i") % 3)
     boxes = w.select("doc_id", "page", (F.col("i") % 6 * 50.0).alias("left"), top.alias("top"), (F.col("i") % 6 * 50.0 + 40).alias("right"), (top + 9).alias("bottom"), "text")

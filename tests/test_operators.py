@@ -1,12 +1,14 @@
 """Operators on rows made by hand."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from docmeter.operators import evaluation as E
 from docmeter.operators import layout, relational, rules, splits
+from docmeter.plans import texts
 from docmeter.sources import tables
 from docmeter.streaming import counters
 
@@ -43,6 +45,14 @@ def test_row_cluster(spark):
     assert [r.text for r in layout.rows_of_boxes(df).orderBy("row").collect()] == ["a b", "c"]
 
 
+def test_row_cluster_places_all_words(spark, tmp_path):
+    pages = [(1, "<p>" + " ".join(f"w{i}" for i in range(4001)) + "</p>"), (2, "<b>one</b> two"), (3, " ".join(f"x{i % 7}" for i in range(61))), (4, "<br>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    words = {i: re.sub("<[^>]+>", " ", html).split() for i, html in pages}
+    want = {(i, n // 6): " ".join(w[n : n + 6]) for i, w in words.items() for n in range(0, len(w), 6)}
+    assert {(r.doc_id, r.row): r.text for r in texts.row_cluster(spark, str(tmp_path)).collect()} == want
+
+
 def test_grounding_and_consensus(spark):
     r = spark.range(1).select(rules.consensus(F.array(F.lit("abc"), F.lit("abd"), F.lit("abc"))).alias("c"), rules.confidence(F.lit(3), 4, F.lit(1), F.lit(0)).alias("s")).first()
     assert (r.c, r.s) == ("abc", 0.7)
