@@ -53,9 +53,9 @@ def type_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Titles with two wrong characters are still found."""
+    """Titles with two wrong characters are still found, anywhere in the text."""
     noisy = F.when(F.col("item_id") % 2 == 0, "CREDENC1AL PARA V0TAR").otherwise("nothing of the kind")
-    t = table(spark, d, "benchmark").select("item_id", F.concat_ws(" ", F.left("text", F.lit(200)), noisy).alias("text"))
+    t = table(spark, d, "benchmark").select("item_id", F.concat_ws(" ", "text", noisy).alias("text"))
     return t.select("item_id", rules.tolerant_hits(F.col("text"), ["CREDENCIAL PARA VOTAR", "REGISTRO CIVIL"]).alias("hits"))
 
 

@@ -53,6 +53,32 @@ def test_row_cluster_places_all_words(spark, tmp_path):
     assert {(r.doc_id, r.row): r.text for r in texts.row_cluster(spark, str(tmp_path)).collect()} == want
 
 
+def test_fuzzy_classify_searches_the_whole_text(spark, tmp_path):
+    far = "lorem ipsum dolor " * 20
+    items = [(0, far), (1, far + "REGISTR0 CIVIL " + far), (3, far), (4, far + "REG1STRO CIV1L")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.item_id: r.hits for r in texts.fuzzy_classify(spark, str(tmp_path)).collect()} == {0: 1, 1: 1, 3: 0, 4: 2}
+
+
+def test_tolerant_type(spark):
+    far = "lorem ipsum dolor sit amet " * 1300
+    cases = [
+        ("CREDENCLAL PARA VOTAR. VIGENCIA 2030", "INE"),  # 2 + 1
+        (far + "CREDENCIAL PARA V0TAR " + far + "D0MICILIO", "INE"),  # beyond 30,000 characters
+        ("CREDENCIAL PARA VOTAR", None),  # 2 points
+        ("VIGENCIA EMISION LOCALIDAD SECCION", None),  # no strong signal
+        ("CREDENCIAL PARA VOTAR VIGENCIA ACTA DE NACIMIENTO", None),  # margin 1
+        ("P<MEXLOPEZ<<ANA<<<<<<<<", "PASAPORTE"),  # structures only: 2 + 1
+        ("LPMRAN60010114M100 domicilio", "INE"),  # elector's key and a phrase
+        ("Acta de Nacimíento / Registro Civil", "ACTA"),
+        ("CLAVE UNICA DE REGISTR0 DE POBLACION RENAPO", "CURP"),
+        ("", None),
+        (None, None),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")
+    assert [r.doc_type for r in rules.tolerant_type(rows, "text").orderBy("i").collect()] == [w for _, w in cases]
+
+
 def test_grounding_and_consensus(spark):
     r = spark.range(1).select(rules.consensus(F.array(F.lit("abc"), F.lit("abd"), F.lit("abc"))).alias("c"), rules.confidence(F.lit(3), 4, F.lit(1), F.lit(0)).alias("s")).first()
     assert (r.c, r.s) == ("abc", 0.7)
