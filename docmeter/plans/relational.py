@@ -139,11 +139,19 @@ def merge_keep_existing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_log(spark: SparkSession, d: str) -> DataFrame:
+    """Heads and sizes that differ from a user's turn to the next; digests of whole texts where neither tells them apart."""
     c = table(spark, d, "conversations").where("role = 'user'")
-    rows = c.select("conv_id", (F.col("turn") / 2).cast("int").alias("step"), F.array(F.struct(F.lit("head").alias("field"), F.left("text", F.lit(3)).alias("value")), F.struct(F.lit("size").alias("field"), F.length("text").cast("string").alias("value"))).alias("f"))
+    head, size = F.left("text", F.lit(3)), F.length("text").cast("string")
+    # The last 64 characters are the digest; what stands before them is equal where head and size are.
+    whole = F.concat(size, F.lit(":"), head, F.sha2("text", 256))
+    values = {"head": head, "size": size, "text": whole}
+    rows = c.select("conv_id", (F.col("turn") / 2).cast("int").alias("step"), F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in values.items()]).alias("f"))
     rows = rows.select("conv_id", "step", F.inline("f"))
     before, after = rows, rows.withColumn("step", F.col("step") - 1).where("step >= 0")
-    return R.change_log(before, after, ["conv_id", "step"], "field", "value").select("conv_id", "step", "field", "old", "new")
+    log = R.change_log(before, after, ["conv_id", "step"], "field", "value")
+    log = log.where("field <> 'text' OR left(old, length(old) - 64) = left(new, length(new) - 64)")
+    shown = lambda v: F.when(F.col("field") == "text", F.right(v, F.lit(64))).otherwise(F.col(v)).alias(v)
+    return log.select("conv_id", "step", "field", shown("old"), shown("new"))
 
 
 def keep_newest(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on rows made by hand."""
 
+import hashlib
 import json
 import re
 
@@ -8,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from docmeter.operators import evaluation as E
 from docmeter.operators import layout, relational, rules, splits
+from docmeter.plans import relational as plans
 from docmeter.plans import texts
 from docmeter.sources import tables
 from docmeter.streaming import counters
@@ -79,6 +81,17 @@ def test_tolerant_type(spark):
     assert [r.doc_type for r in rules.tolerant_type(rows, "text").orderBy("i").collect()] == [w for _, w in cases]
 
 
+def test_change_log_tells_whole_texts_apart(spark, tmp_path):
+    said = {1: ["the cat", "the dog", "the dog"], 2: ["abc", "xyz", "xyzz"], 3: [None, "a", None], 4: ["same"]}
+    turns = [(c, 2 * i, "user", x) for c, xs in said.items() for i, x in enumerate(xs)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.step, r.field): (r.old, r.new) for r in plans.change_log(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert {k: v for k, v in got.items() if k[2] == "text"} == {(1, 0, "text"): (sha("the cat"), sha("the dog"))}
+    assert got[2, 0, "head"] == ("abc", "xyz") and got[2, 1, "size"] == ("3", "4") and (2, 1, "head") not in got
+    assert got[3, 0, "head"] == (None, "a") and got[4, 0, "size"] == ("4", None) and (1, 1, "text") not in got
+
+
 def test_grounding_and_consensus(spark):
     r = spark.range(1).select(rules.consensus(F.array(F.lit("abc"), F.lit("abd"), F.lit("abc"))).alias("c"), rules.confidence(F.lit(3), 4, F.lit(1), F.lit(0)).alias("s")).first()
     assert (r.c, r.s) == ("abc", 0.7)
