@@ -44,12 +44,17 @@ def evenly(index: Column, times: int, of: int) -> Column:
     return F.floor((index + 1) * times / of) > F.floor(index * times / of)
 
 
-def round_robin(rows: DataFrame, stratum: str, kind: str, kinds: Sequence[str], key: str, n: int) -> DataFrame:
-    """``n`` rows of each stratum, taking kinds in turn, each by key."""
-    turn = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind))
-    ranked = rows.where(F.col(kind).isin(*kinds)).withColumn("_nth", F.row_number().over(W.partitionBy(stratum, kind).orderBy(key)))
+def round_robin(rows: DataFrame, stratum: str, kind: str, kinds: Sequence[str] | None, key: str, n: int) -> DataFrame:
+    """``n`` rows of each stratum, taking kinds in turn, each by key. Without ``kinds`` the table's own, null last: every row may be taken."""
+    if kinds is None:
+        own = rows.select(F.col(kind).alias("_kind")).distinct()
+        own = own.withColumn("_turn", F.row_number().over(W.orderBy(F.asc_nulls_last("_kind"))))
+        rows = rows.join(own, F.col(kind).eqNullSafe(F.col("_kind"))).drop("_kind")
+    else:
+        rows = rows.where(F.col(kind).isin(*kinds)).withColumn("_turn", F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind)))
+    ranked = rows.withColumn("_nth", F.row_number().over(W.partitionBy(stratum, kind).orderBy(key)))
     # Of each kind the first n are enough: later rows can't be taken.
-    ranked = ranked.where(F.col("_nth") <= n).withColumn("_turn", turn)
+    ranked = ranked.where(F.col("_nth") <= n)
     taken = ranked.withColumn("taken", F.row_number().over(W.partitionBy(stratum).orderBy("_nth", "_turn")))
     return taken.where(F.col("taken") <= n).drop("_nth", "_turn")
 

@@ -42,6 +42,12 @@ def test_round_robin_and_pending(spark):
     assert sorted(r.id for r in splits.pending(df.select("id"), done, "id").collect()) == [1, 3, 4, 5]
 
 
+def test_round_robin_takes_every_kind_of_the_table(spark):
+    df = spark.createDataFrame([("x", k, i) for i, k in enumerate(["b", None, "a", "b", None])] + [("y", "c", 9)], "s string, k string, id int")
+    got = [(r.s, r.k, r.id) for r in splits.round_robin(df, "s", "k", None, "id", 4).orderBy("s", "taken").collect()]
+    assert got == [("x", "a", 2), ("x", "b", 0), ("x", None, 1), ("x", "b", 3), ("y", "c", 9)]
+
+
 def test_row_cluster(spark):
     df = spark.createDataFrame([(1, 1, 50.0, 1.0, 90.0, 10.0, "b"), (1, 1, 0.0, 0.0, 40.0, 9.0, "a"), (1, 1, 0.0, 20.0, 9.0, 30.0, "c"), (1, 1, None, 0.0, 1.0, 1.0, "x")], "doc_id int, page int, left double, top double, right double, bottom double, text string")
     assert [r.text for r in layout.rows_of_boxes(df).orderBy("row").collect()] == ["a b", "c"]
