@@ -53,6 +53,13 @@ def test_row_cluster(spark):
     assert [r.text for r in layout.rows_of_boxes(df).orderBy("row").collect()] == ["a b", "c"]
 
 
+def test_compare_runs_without_data(spark):
+    base = spark.createDataFrame([("a", 10), ("b", 14)], "k string, n int")
+    new = spark.createDataFrame([("a", 35), ("c", 7)], "k string, n int")
+    got = {r.k: (r.base, r.new, r.verdict) for r in E.compare_runs(base, new, ["k"], "n", True, 3.0).collect()}
+    assert got == {"a": (10, 35, "better"), "b": (14, None, "no_data"), "c": (None, 7, "no_data")}
+
+
 def test_row_cluster_places_all_words(spark, tmp_path):
     pages = [(1, "<p>" + " ".join(f"w{i}" for i in range(4001)) + "</p>"), (2, "<b>one</b> two"), (3, " ".join(f"x{i % 7}" for i in range(61))), (4, "<br>")]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
