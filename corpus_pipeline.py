@@ -27,11 +27,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id."""
-    found = jaccard_join.jaccard_components(docs)
-    # Rows with a null id name no component and stay.
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near copies one row: the smallest doc_id's, null last. Rows without words are copies of none and stay."""
+    # Rows are told apart by a number of their own, as ids may be null or repeated.
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = jaccard_join.jaccard_components(rows, key="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    first = found.join(rows.select("_row", order.alias("o")), "_row").groupBy("component_id").agg(F.min("o")["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

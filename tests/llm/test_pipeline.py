@@ -58,5 +58,16 @@ def test_stages(spark, data, tmp_path):
     assert tables[5].count() == tables[4].count()
 
 
+def test_jaccard_stage_keeps_one_row_of_each_component(spark, data):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("c")), (None, text("d")), (None, text("d") + " more"), (None, text("e")), (5, text("e")), (6, None), (7, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, docs, data).collect())
+    some = [k for k in got if k[0] is None]
+    assert len(some) == 1 and some[0][1].startswith("d0 ") and got[some[0]] == 1
+    del got[some[0]]
+    assert got == Counter([(1, text("a")), (2, text("b")), (3, text("c")), (5, text("e")), (6, None), (7, ""), (8, "")])
+
+
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
