@@ -1,11 +1,13 @@
-"""N-gram Jaccard join with set-relation skipping.
+"""N-gram Jaccard join with set-relation skipping by components.
 
 A document's set holds the hashes of its word shingles. Equal sets are one item. An item's
 tokens are ordered from rare to frequent; any two sets that reach the threshold share a
-token of their prefixes, so only prefixes are indexed. Entries of an index list are skipped
-by size and by position (no room left after the first common token), lists are compared in
-blocks, and a set that is linked to another takes over its component, so that only pairs
-across components are still compared (see ``linking``).
+token of their prefixes, so only prefixes are indexed. Lists are compared in blocks, cut by
+a hash of the item; all blocks of a list meet. Pairs of a list are dropped by size before
+they are grouped and by position (no room left after the common token) afterwards: no block
+or entry is skipped by position. A set that is linked to another takes over its component,
+so that only pairs across components are still compared (see ``linking``); answers are not
+derived incrementally beyond that.
 
 Frequencies come from a sketch: counts of shingles by the leading bits of their hashes, over
 all documents. It decides the order only, never the result. Hashes have 64 bits: that two
