@@ -40,7 +40,7 @@ STRATA = (20, 24, 32, 40, 64, 128)
 
 _SPAN = "struct<start:int,end:int,kind:int>"
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Name, full-match pattern and alphabet; the first that fits is the token's encoding. All but base64 need a digit and a letter.
+#: Name, full-match pattern and alphabet; the first that fits is the token's encoding. All need a digit and a letter.
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", _DIGITS + "abcdef"),
     ("hex upper", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", _DIGITS + "ABCDEF"),
