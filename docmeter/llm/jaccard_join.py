@@ -1,13 +1,10 @@
-"""N-gram Jaccard join with set-relation skipping by components.
+"""N-gram Jaccard join with set-relation skipping.
 
 A document's set holds the hashes of its word shingles. Equal sets are one item. An item's
 tokens are ordered from rare to frequent; any two sets that reach the threshold share a
-token of their prefixes, so only prefixes are indexed. Lists are compared in blocks, cut by
-a hash of the item; all blocks of a list meet. Pairs of a list are dropped by size before
-they are grouped and by position (no room left after the common token) afterwards: no block
-or entry is skipped by position. A set that is linked to another takes over its component,
-so that only pairs across components are still compared (see ``linking``); answers are not
-derived incrementally beyond that.
+token of their prefixes, so only prefixes are indexed. Lists are sorted into blocks by size
+and position, and blocks and entries without room for the threshold are skipped; answers of
+a set follow from those of a similar set where these decide (see ``linking``).
 
 Frequencies come from a sketch: counts of shingles by the leading bits of their hashes, over
 all documents. It decides the order only, never the result. Hashes have 64 bits: that two
@@ -20,23 +17,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .linking import POSTING, jaccard_rule, link, needed_keys, shared_postings, similar_sets, verified
+from .common import col, materialize, scratch, slices
+from .linking import POSTING, SIGNATURE, Rule, few, link, measured, overlap_of_hashes, shared_postings, signature
 
 WORDS, THRESHOLD = 5, 80
 #: The sketch has a counter for this many bytes of text, within these bounds (powers of two).
 SKETCH_BYTES, SKETCH_BITS = 192, (12, 24)
 _ROWS = 1 << 12
+#: Sets that a task remembers, so that copies in it are posted once.
+DONE = 200_000
 
 
 class Hasher:
     """Shingle sets of texts; hashes of words are kept for a while."""
 
-    def __init__(self, words: int = WORDS, cache: int = 400_000):
+    def __init__(self, words: int = WORDS, cache: int = 100_000):
         class Words(dict):
             def __missing__(self, word: bytes) -> int:
                 found = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -66,25 +66,35 @@ class Hasher:
         return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
-def _scan(docs: DataFrame, key: str, text: str, words: int, bits: int) -> DataFrame:
-    """Rows of two kinds: a document's item and set size; a block of a task's counters."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, counts = Hasher(words), np.zeros(1 << bits, np.int64)
-        for b in batches:
-            items, sizes = [], []
-            for t in b["text"]:
-                s = hasher.shingles(t)
-                items.append(Hasher.item(s) if len(s) else None)
-                sizes.append(len(s))
-                np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-            yield pd.DataFrame({"key": b["key"], "item": pd.array(items, "Int64"), "n": sizes, "block": -1, "counts": None})
-        blocks = counts.reshape(-1, min(_ROWS, len(counts))).clip(0, 65535).astype("<u2")
-        full = np.flatnonzero(blocks.any(1))
-        yield pd.DataFrame({"key": pd.array([None] * len(full), "Int64"), "item": pd.array([None] * len(full), "Int64"), "n": 0, "block": full, "counts": [blocks[i].tobytes() for i in full]})
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "key long, item long, n int, block int, counts binary")
+def _scan(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """Rows of two kinds: a document's item, set size and signature; a block of a task's counters."""
+    key_type = docs.schema["key"].dataType
+    shape = f"key {key_type.simpleString()}, item long, n int, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", block int, counts binary"
+    names = ["key", "item", "n", *SIGNATURE, "block", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, counts, key_arrow = Hasher(words), np.zeros(1 << bits, np.uint32), pa.null()
+        for batch in batches:
+            key_arrow = batch.column(0).type
+            for b in slices(batch):
+                items, sizes, signs = [], np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, len(SIGNATURE)), np.int64)
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    s = hasher.shingles(t)
+                    items.append(Hasher.item(s) if len(s) else None)
+                    if len(s):
+                        sizes[i], signs[i] = len(s), signature(s)
+                        np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+                none = pa.nulls(b.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.int64()), pa.array(sizes), *map(pa.array, signs.T), pa.array(np.full(b.num_rows, -1, np.int32)), none], names)
+        width = min(_ROWS, len(counts))
+        for at in range(0, len(counts), width):
+            part = counts[at : at + width]
+            if part.any():
+                data = pa.array([np.minimum(part, 65535).astype("<u2").tobytes()], pa.binary())
+                empty = [pa.nulls(1, t) for t in (key_arrow, pa.int64(), pa.int32(), *[pa.int64()] * len(SIGNATURE))]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([at // width], pa.int32()), data], names)
+
+    return docs.mapInArrow(run, shape)
 
 
 def _classes(scanned: DataFrame, bits: int) -> np.ndarray:
@@ -118,63 +128,69 @@ def jaccard_components(
     * A row with a null key stands in the component of the rows with its set; where none of these has a key, it links
       with nothing and its component is null. Repeated keys and rows are rows of their own; a key with several texts
       stands in each text's component.
+    * The key may have any type that can be ordered; links are made by sets, so ties between keys don't matter.
     * Equal sets are collapsed first, task by task, so groups of copies cost no more than their count. An empty table
       gives an empty table. Other columns are left out.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = min(max(SKETCH_BITS[0], int(total // SKETCH_BYTES).bit_length()), SKETCH_BITS[1])
-    scanned = materialize(_scan(docs, key, text, words, bits), "jaccard-scan")
-    rows = scanned.where("block < 0").select("key", "item", "n")
-    classes = spark.sparkContext.broadcast(_classes(scanned, bits))
-
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    texts = docs.select(col(key).alias("key"), col(text).alias("text"))
+    with scratch(spark):
+        total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(max(SKETCH_BITS[0], int(total // SKETCH_BYTES).bit_length()), SKETCH_BITS[1])
+        scanned = materialize(_scan(texts, words, bits), "jaccard-scan")
+        rows = scanned.where("block < 0").select("key", "item", "n")
+        first = scanned.where("block < 0 AND item IS NOT NULL").groupBy("item").agg(F.min("key").alias("key"), *[F.any_value(c).alias(c) for c in ("n", *SIGNATURE)])
+        classes = spark.sparkContext.broadcast(_classes(scanned, bits))  # a byte a counter
+        shared = shared_postings(texts.mapInArrow(_poster(classes, bits, words, threshold), POSTING), "jaccard-postings")
+
+        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher = Hasher(words)
+            for batch in batches:
+                for b in slices(batch):
+                    s = [x for x in (hasher.shingles(t) for t in b.column(0).to_pylist()) if len(x)]
+                    yield pa.RecordBatch.from_arrays([pa.array([Hasher.item(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["item", "body"])
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+            needed = materialize(items.join(first, "item").select("key"), "jaccard-needed")
+            sets = materialize(texts.join(few(needed), "key", "left_semi").select("text").mapInArrow(sets_of, "item long, body binary"), "jaccard-sets")
+            return materialize(measured(pairs, sets.dropDuplicates(["item"]), lambda: overlap_of_hashes, threshold), "jaccard-tried")
+
+        linked = link(shared, first.select("item", "n", *SIGNATURE), Rule(threshold, True), verify, "jaccard")
+
+        named = first.select("item", "key").join(linked.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+        names = named.groupBy("root").agg(F.min("key").alias("component_id"))
+        by_item = named.join(names, "root").select("item", "component_id")
+        out = rows.join(by_item, "item", "left")
+        component = F.when(F.col("item").isNull(), F.col("key")).otherwise(F.col("component_id"))
+        out = out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+        return materialize(out, "jaccard-components", keep=True)
+
+
+def _poster(classes, bits: int, words: int, threshold: int):
+    """Postings of the texts' prefixes, task by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, done, kinds = Hasher(words), set(), classes.value
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                s = hasher.shingles(t)
-                n = len(s)
-                item = Hasher.item(s) if n else None
-                if item is None or item in done:  # a copy in the same task
-                    continue
-                done.add(item)
-                kind = kinds[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                prefix = n - -(-threshold * n // 100) + 1
-                first = np.argsort(kind, kind="stable")[:prefix]
-                out.append((s[first].view(np.int64), item, n, kind[first] > 0))
-            if out:
-                sizes = [len(o[0]) for o in out]
-                yield pd.DataFrame(
-                    {
-                        "token": np.concatenate([o[0] for o in out]),
-                        "item": np.repeat(np.array([o[1] for o in out], np.int64), sizes),
-                        "n": np.repeat(np.array([o[2] for o in out], np.int32), sizes),
-                        "pos": np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]),
-                        "hot": np.concatenate([o[3] for o in out]),
-                    }
-                )
-
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    shared = shared_postings(texts.mapInPandas(post, POSTING), "jaccard-postings")
-    first = rows.where("item IS NOT NULL").groupBy("item").agg(F.min("key").alias("key"))
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher(words)
-        for b in batches:
-            s = [x for x in (hasher.shingles(t) for t in b["text"]) if len(x)]
-            yield pd.DataFrame({"item": [Hasher.item(x) for x in s], "body": [x.tobytes() for x in s]})
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        needed = needed_keys(pairs, first, F.col("key"))
-        sets = materialize(texts.join(needed, "key", "left_semi").mapInPandas(sets_of, "item long, body binary"), "jaccard-sets")
-        return materialize(verified(pairs, sets.dropDuplicates(["item"]), similar_sets(threshold)), "jaccard-links")
-
-    linked = link(shared, jaccard_rule(threshold), verify, "jaccard")
-
-    named = first.join(linked.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
-    names = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    by_item = named.join(names, "root").select("item", "component_id")
-    out = rows.join(by_item, "item", "left")
-    component = F.when(F.col("item").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+        for batch in batches:
+            for b in slices(batch):
+                tokens, items, hot = [], [], []
+                if len(done) > DONE:  # a copy that comes again is dropped when postings are sorted
+                    done.clear()
+                for t in b.column(1).to_pylist():
+                    s = hasher.shingles(t)
+                    item = Hasher.item(s) if len(s) else None
+                    if item is None or item in done:
+                        continue
+                    done.add(item)
+                    kind = kinds[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                    first = np.argsort(kind, kind="stable")[: len(s) - -(-threshold * len(s) // 100) + 1]
+                    tokens.append(s[first].view(np.int64))
+                    hot.append(kind[first] > 0)
+                    items.append(item)
+                if items:
+                    sizes = [len(x) for x in tokens]
+                    columns = np.concatenate(tokens), np.repeat(np.array(items, np.int64), sizes), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), np.concatenate(hot)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "item", "pos", "hot"])
+
+    return run

@@ -1,11 +1,19 @@
 """Links between items that share index entries, without all pairs of a group.
 
-The index is a table of postings (token, item, n, pos): ``n`` is the item's set size, ``pos``
-the token's position in the item's ordered set. In the first rounds each item of a list is
-compared with a few leaders of the list only, others each time. Items that prove linked then
-share their answers: what is linked to one is in the component of the other, so in the second
-round only pairs of different components are compared. Either way a pair comes up only
-where its sizes and positions leave room for the threshold.
+The index is a table of postings (token, item, pos); ``pos`` is the token's position in the
+item's ordered set. Each item has its set's size n and a signature: the parities of 256
+classes of its set's elements. The signatures of two sets differ in no more classes than
+the sets differ in elements, so a signature is an upper bound of the overlap that never
+loses a link. A list is one group of rows of one task; a longer list is cut into blocks by
+size and position, and pairs of blocks whose bounds of size and position leave no room for
+the threshold are skipped without being read.
+
+There are two rounds. In the first each short list gives all its promising pairs, and a long
+list (or block) only those of a few leaders and each item's nearest one; these are verified
+exactly. In the second round answers are derived from those: what is linked to one set is in
+the component of all, so only pairs of different components are left; and where both sets
+were held against the same leader, the two overlaps bound theirs. Pairs that are still
+promising are verified one by one, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -18,27 +26,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 from .components import components
 
-#: Postings of a list that one task compares with each other; longer lists are cut into blocks, and pairs of blocks compared.
-BLOCK = 512
-#: Rounds of comparisons with leaders before the pairs that are left are compared.
-ROUNDS, LEADERS = 2, 4
+#: Postings of a list that one task compares with each other; longer lists are cut into blocks of about so many.
+BLOCK = 1024
+#: Lists up to this length give all their promising pairs in the first round.
+WHOLE = 32
+#: Leaders of a longer list in the first round, and the pairs an item may have there before leaders are taken.
+LEADERS, DENSE = 4, 8
 #: So many keys (a few numbers each, 64 MB at most) are broadcast.
 BROADCAST_KEYS = 1 << 20
-POSTING = "token long, item long, n int, pos int, hot boolean"
+#: Bits of a signature.
+CLASSES = 256
+POSTING = "token long, item long, pos int, hot boolean"
+SIGNATURE = [f"s{i}" for i in range(CLASSES // 64)]
+_ROWS = [*SIGNATURE, "item", "n", "pos", "root", "lead", "held"]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Which pairs of a list are worth a look: by sizes (of structs l and x with n and pos), by room after a common token
-    (one token with room is enough), and by ``common`` tokens of sets of sizes n and m, for the first and the second round."""
+    """Links: 100 * |x & y| >= threshold * |x | y|. With ``by_position`` tokens are the sets' elements in one order for all,
+    so that a pair's first common token leaves room for the overlap after it."""
 
-    sizes: Callable[[str, str], Column]
-    room: Callable[[str, str], Column]
-    enough: str
-    promising: str
+    threshold: int
+    by_position: bool
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the classes of distinct hashes, as signed 64-bit numbers."""
+    odd = np.bincount((hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def shared_postings(postings: DataFrame, name: str) -> DataFrame:
@@ -48,7 +66,7 @@ def shared_postings(postings: DataFrame, name: str) -> DataFrame:
     """
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("item"), F.lit(64))).otherwise(0)
-    dealt = postings.repartition(parts, "token", salt).sortWithinPartitions("token", "n", "item")
+    dealt = postings.repartition(parts, "token", salt).sortWithinPartitions("token", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row so far, not yet decided; and whether its token was seen before it
@@ -56,7 +74,7 @@ def shared_postings(postings: DataFrame, name: str) -> DataFrame:
         for b in batches:
             if held is not None:
                 b = pa.concat_batches([held, b])
-            token, item, hot = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
+            token, item, hot = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             if not len(token):
                 continue
             new = np.r_[True, (token[1:] != token[:-1]) | (item[1:] != item[:-1])]
@@ -66,135 +84,236 @@ def shared_postings(postings: DataFrame, name: str) -> DataFrame:
             seen = bool(keep[-1] and not hot[-1]) or bool(len(same) and same[-1]) or (len(token) == 1 and seen)
             held = b.slice(len(token) - 1)
             yield b.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
-        if held is not None and (seen or held.column(4)[0].as_py()):
+        if held is not None and (seen or held.column(3)[0].as_py()):
             yield held
 
-    return materialize(dealt.mapInArrow(run, POSTING).select("token", "item", "n", "pos"), name)
+    return materialize(dealt.mapInArrow(run, POSTING).select("token", "item", "pos"), name)
 
 
-def index_lists(shared: DataFrame, name: str) -> DataFrame:
-    """(token, c, block, xs): the lists, those longer than ``BLOCK`` cut into blocks by a hash; c is the whole list's length."""
-    sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    block = F.pmod(F.xxhash64("token", "item"), F.ceil(F.col("c") / BLOCK).cast("int")).cast("int")
-    blocked = shared.join(sizes, "token").withColumn("block", block)
-    return materialize(blocked.groupBy("token", "c", "block").agg(F.collect_list(F.struct("item", "n", "pos")).alias("xs")), name)
+def index_lists(shared: DataFrame, items: DataFrame, name: str) -> DataFrame:
+    """(token, block, c, item, n, pos, s0 ...): the lists with their items' sizes and signatures; c is the list's length.
 
+    ``block`` is 0, but in lists longer than ``BLOCK``: there sizes (by classes a quarter apart) and positions (by powers
+    of two) and, within these, a hash of the item cut the list.
+    """
+    rows = shared.join(items, "item")
+    lengths = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    rows = materialize(rows.join(lengths.where("c > 1"), "token").withColumn("block", F.lit(0).cast("long")), name)
+    cell = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))) * 64 + F.floor(F.log2(F.col("pos") + 1))
+    long = rows.where(F.col("c") > BLOCK).select("token", cell.alias("cell"))
+    cells = long.groupBy("token", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts")).withColumnRenamed("token", "t")
+    if cells.isEmpty():
+        return rows
+    rows = rows.withColumn("cell", F.when(F.col("c") > BLOCK, cell))
+    cut = rows.join(cells.withColumnRenamed("cell", "d"), (F.col("token") == F.col("t")) & (F.col("cell") == F.col("d")), "left")
+    block = F.coalesce(F.col("cell") * (1 << 24) + F.pmod(F.xxhash64("item", "token"), F.col("cuts")) + 1, F.lit(0)).cast("long")
+    return materialize(cut.withColumn("block", block).drop("t", "d", "cell", "cuts"), f"{name}-cut")
+
+
+class _Rows:
+    """Columns of one side of a comparison."""
+
+    def __init__(self, b: pa.RecordBatch):
+        for c in _ROWS:
+            setattr(self, c, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False))
+        self.sig = np.stack([getattr(self, c) for c in SIGNATURE], axis=1).view(np.uint64)
+
+
+def _promising(x: _Rows, i: np.ndarray, y: _Rows, j: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the rows i of x may be linked with the rows j of y (arrays that broadcast), and in how many classes they differ."""
+    n, m, t = x.n[i], y.n[j], rule.threshold
+    least = -(-t * (n + m) // (100 + t))
+    ok = (x.root[i] != y.root[j]) & (100 * np.minimum(n, m) >= t * np.maximum(n, m))
+    if rule.by_position:
+        ok &= np.minimum(n - x.pos[i], m - y.pos[j]) >= least
+    differ = np.zeros(np.broadcast_shapes(i.shape, j.shape), np.int16)
+    for k in range(CLASSES // 64):
+        differ += np.bitwise_count(x.sig[i, k] ^ y.sig[j, k])
+    ok &= differ <= n + m - 2 * least
+    # Held against the same leader, what each has outside of the overlap with it bounds the rest.
+    p, q = x.held[i], y.held[j]
+    ok &= (x.lead[i] != y.lead[j]) | (np.minimum(p, q) + np.minimum(n - p, m - q) >= least)
+    return ok, differ
+
+
+def _short(x: _Rows, group: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Promising pairs of rows of equal groups, the groups lying side by side."""
+    far = 1
+    i = np.arange(len(group) - 1)
+    while len(i := i[i + far < len(group)]) and len(i := i[group[i] == group[i + far]]):
+        ok, _ = _promising(x, i, x, i + far, rule)
+        yield i[ok], i[ok] + far
+        far += 1
+
+
+def _block(x: _Rows, xs: np.ndarray, y: _Rows, ys: np.ndarray, rule: Rule, leaders: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Promising pairs between rows xs and rows ys; with ``leaders`` (xs = ys) only those of the first round where they are many."""
+    found, gap = np.zeros((len(xs), len(ys)), bool), np.zeros((len(xs), len(ys)) if leaders else (0, 0), np.int16)
+    for at in range(0, len(xs), 64):
+        ok, differ = _promising(x, xs[at : at + 64, None], y, ys[None, :], rule)
+        found[at : at + 64] = ok
+        if leaders:
+            gap[at : at + 64] = np.where(ok, differ, CLASSES + 1)
+    if not leaders or found.sum() <= 2 * DENSE * len(xs):
+        i, j = np.nonzero(found)
+        yield xs[i], ys[j]
+        return
+    near = gap.argmin(1)
+    has = np.flatnonzero(found.any(1))
+    yield xs[has], ys[near[has]]
+    left = np.ones(len(xs), bool)
+    for _ in range(LEADERS):
+        lead = int((found & left[None, :]).sum(1).argmax())
+        mine = np.flatnonzero(found[lead] & left)
+        if not len(mine):
+            break
+        yield np.full(len(mine), xs[lead]), ys[mine]
+        left[mine] = left[lead] = False
+
+
+def _compare(rows: DataFrame, rule: Rule, first: bool) -> DataFrame:
+    """(a, b): promising pairs of each group (token, u, v); side 0: of the group's rows, sides 1 and 2: between the two sides."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["token", "u", "v"]
+    dealt = rows.select(*key, "side", *_ROWS).repartition(parts, *key).sortWithinPartitions(*key, "side", "item")
+
+    def pairs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x = _Rows(b)
+        group = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in key])
+        side = b.column("side").to_numpy(zero_copy_only=False)
+        new = np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)]
+        number = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.r_[starts, len(side)])
+        big = (sizes > WHOLE) | (side[starts] > 0)
+        mine = ~big[number]
+        found = []
+        if mine.any():
+            # rows of long groups stand apart, each as a group of its own
+            found += list(_short(x, np.where(mine, number, -1 - np.arange(len(number))), rule))
+        for start, size in zip(starts[big], sizes[big], strict=True):
+            at = np.arange(start, start + size)
+            if side[start] == 0:
+                found += list(_block(x, at, x, at, rule, first))
+            else:
+                found += list(_block(x, at[side[at] == 1], x, at[side[at] == 2], rule, False))
+        if found:
+            i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            a, b = np.minimum(x.item[i], x.item[j]), np.maximum(x.item[i], x.item[j])
+            keep = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(keep[:, 0]), pa.array(keep[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = [b.column(c)[b.num_rows - 1] for c in key]
+            same = np.logical_and.reduce([b.column(c).to_numpy(zero_copy_only=False) == v.as_py() for c, v in zip(key, last, strict=True)])
+            cut = b.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if same.all():
+                if held and [held[0].column(c)[0] for c in key] != last:
+                    yield from pairs(pa.concat_batches(held))
+                    held = []
+                held.append(b)
+                continue
+            yield from pairs(pa.concat_batches([*held, b.slice(0, cut)]))
+            held = [b.slice(cut)]
+        if held:
+            yield from pairs(pa.concat_batches(held))
 
-def leader_pairs(lists: DataFrame, rule: Rule, seed: int) -> DataFrame:
-    """(a, b): items with the leaders of their block, where they meet often enough to be promising.
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    The leaders are the first ones by a seeded hash, so an item leads all the lists that it is in, or few; no list is moved.
-    """
-    drawn = F.transform("xs", lambda x: F.struct(F.xxhash64(x["item"], F.lit(seed)).alias("h"), x["item"].alias("item"), x["n"].alias("n"), x["pos"].alias("pos")))
-    led = lists.where(F.size("xs") > 1).select(F.explode(F.slice(F.array_sort(drawn), 1, LEADERS)).alias("l"), "xs")
-    pairs = led.select("l", F.explode("xs").alias("x"))
-    pairs = pairs.where(F.col("l.item") != F.col("x.item")).where(rule.sizes("l", "x"))
-    return _counted(pairs, rule).where(F.col("room") & F.expr(rule.promising)).select("a", "b")
-
-
-def _counted(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """One row per pair: common tokens, sizes, and whether one of the tokens leaves room."""
-    ends = [F.least("l.item", "x.item").alias("a"), F.greatest("l.item", "x.item").alias("b")]
-    return pairs.groupBy(*ends).agg(
-        F.count(F.lit(1)).alias("common"), F.min(F.least("l.n", "x.n")).alias("n"), F.max(F.greatest("l.n", "x.n")).alias("m"), F.max(rule.room("l", "x")).alias("room")
-    )
 
+def _alone(lists: DataFrame) -> DataFrame:
+    return lists.select("token", F.col("block").alias("u"), F.col("block").alias("v"), F.lit(0).alias("side"), *_ROWS)
 
-def cross_pairs(lists: DataFrame, roots: DataFrame, rule: Rule, tried: DataFrame) -> DataFrame:
-    """(a, b): pairs of a list that lie in different components and were not tried before.
 
-    All lists that such a pair shares are compared here, so the count of its common tokens is whole.
+def _across(lists: DataFrame, rule: Rule) -> DataFrame:
+    """Groups of the second round: lists with several roots; of long lists the pairs of blocks that sizes, positions and roots leave."""
+    mixed = lists.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    lists = lists.join(mixed, "token")
+    bounds = lists.where(F.col("c") > BLOCK).groupBy("token", "block").agg(
+        *[f(c).alias(f"{c}_{k}") for c in ("n", "pos", "root") for k, f in (("lo", F.min), ("hi", F.max))]
+    )
+    pairs = bounds.alias("l").join(bounds.alias("x"), (F.col("l.token") == F.col("x.token")) & (F.col("l.block") <= F.col("x.block")) & _reach(rule))
+    pairs = materialize(pairs.select(F.col("l.token").alias("token"), F.col("l.block").alias("u"), F.col("x.block").alias("v")), "link-blocks")
+    short = _alone(lists.where(F.col("c") <= BLOCK))
+    if pairs.isEmpty():
+        return short
+    own = lists.where(F.col("c") > BLOCK)
+    sides = [(1, "u", "u < v"), (2, "v", "u < v"), (0, "u", "u = v")]
+    for side, end, which in sides:
+        some = pairs.where(which).select(F.col("token").alias("t"), "u", "v")
+        part = own.join(some, (F.col("token") == F.col("t")) & (F.col("block") == F.col(end)))
+        short = short.unionByName(part.select("token", "u", "v", F.lit(side).alias("side"), *_ROWS))
+    return short
+
+
+def _reach(rule: Rule) -> Column:
+    """Whether two blocks l and x hold rows that could be linked, by their bounds."""
+    t = rule.threshold
+    out = F.expr(f"100 * l.n_hi >= {t} * x.n_lo AND 100 * x.n_hi >= {t} * l.n_lo AND NOT (l.root_lo = l.root_hi AND l.root_lo = x.root_lo AND x.root_lo = x.root_hi)")
+    if rule.by_position:
+        out &= F.expr(f"least(l.n_hi - l.pos_lo, x.n_hi - x.pos_lo) * {100 + t} >= {t} * (l.n_lo + x.n_lo)")
+    return out
+
+
+def link(shared: DataFrame, items: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Components (node, root) of the links between items (item, n, s0 ...) that share a posting.
+
+    ``verify`` takes pairs (a, b) and gives each with ``held``, the exact overlap, and ``linked``.
     """
-    known = roots.withColumnRenamed("node", "item")
-    rows = lists.select("token", "c", "block", F.inline("xs")).join(known, "item", "left").withColumn("root", F.coalesce("root", "item"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    rows = rows.join(mixed.where("r0 <> r1").select("token"), "token")
-    other = F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / BLOCK).cast("int") - 1))
-    me = rows.select("token", "block", other.alias("o"), F.struct("item", "n", "pos", "root").alias("x"))
-    left = me.where("block <= o").select("token", F.col("block").alias("i"), F.col("o").alias("j"), F.col("x").alias("l"))
-    right = me.where("o <= block").select("token", F.col("o").alias("i"), F.col("block").alias("j"), F.col("x"))
-    # Within the block pair (i, j) of a token; l is the smaller set, so each pair comes once for i = j.
-    smaller = F.struct("l.n", "l.item") < F.struct("x.n", "x.item")
-    once = (F.col("i") < F.col("j")) | smaller
-    pairs = left.join(right, ["token", "i", "j"]).where(once & (F.col("l.root") != F.col("x.root"))).where(rule.sizes("l", "x"))
-    pairs = pairs.select(F.when(smaller, F.col("l")).otherwise(F.col("x")).alias("l"), F.when(smaller, F.col("x")).otherwise(F.col("l")).alias("x"))
-    found = _counted(pairs, rule).where(F.col("room") & F.expr(rule.enough)).select("a", "b")
-    return found.join(tried, ["a", "b"], "left_anti")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    for end in "ab":
-        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        pairs = pairs.join(named, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.where("root_a <> root_b").select("a", "b")
-
-
-def link(shared: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """Components (node, root) of the links that ``verify`` (pairs a, b to linked pairs a, b) confirms."""
-    lists = index_lists(shared, f"{name}-lists")
-    tried = materialize(leader_pairs(lists, rule, 0), f"{name}-leaders")
-    roots = components(verify(tried))
-    for seed in range(1, ROUNDS):
-        more = _apart(leader_pairs(lists, rule, seed), roots).join(tried, ["a", "b"], "left_anti")
-        more = materialize(more, f"{name}-leaders")
-        if more.isEmpty():
-            continue
-        # Components so far stand for their links.
-        roots = components(verify(more).unionByName(_edges(roots)))
-        tried = tried.unionByName(more)
-    rest = materialize(cross_pairs(lists, roots, rule, tried), f"{name}-rest")
-    return roots if rest.isEmpty() else components(verify(rest).unionByName(_edges(roots)))
-
-
-def _edges(roots: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
-def needed_keys(pairs: DataFrame, first: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` of the items that pairs hold; ``first`` has an item's row. Broadcast if they are few, else joined."""
-    items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-    keys = materialize(items.join(first, "item").select(*columns), "needed")
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similar: Callable) -> DataFrame:
-    """The pairs whose sets (item, body) are similar; a body travels once for each pair that it is in."""
-    a, b = (sets.select(F.col("item").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
+    with scratch(shared.sparkSession):
+        lists = index_lists(shared, items, f"{name}-lists")
+        alone = lists.withColumns({"root": F.col("item"), "lead": F.col("item"), "held": F.lit(0)})
+        tried = materialize(verify(materialize(_compare(_alone(alone), rule, True), f"{name}-first")), f"{name}-tried")
+        roots = components(tried.where("linked"))
+        # The other pairs are in lists of which the first round left some out.
+        long = lists.where(F.col("c") > WHOLE)
+        if not long.isEmpty():
+            long = long.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+            long = long.join(leaders(tried), "item", "left").withColumns({"lead": F.coalesce("lead", "item"), "held": F.coalesce("held", "n")})
+            rest = _compare(_across(materialize(long, f"{name}-long"), rule), rule, False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            rest = materialize(rest, f"{name}-rest")
+            if not rest.isEmpty():
+                edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                roots = components(verify(rest).where("linked").select("a", "b").unionByName(edges))
+        return materialize(roots, f"{name}-roots", keep=True)
+
+
+def leaders(tried: DataFrame) -> DataFrame:
+    """(item, lead, held): of the sets that an item was held against, the one that most were held against, and the overlap."""
+    ends = tried.select(F.col("a").alias("item"), F.col("b").alias("lead"), "held").unionAll(tried.select(F.col("b").alias("item"), F.col("a").alias("lead"), "held"))
+    often = tried.select(F.explode(F.array("a", "b")).alias("lead")).groupBy("lead").agg(F.count(F.lit(1)).alias("times"))
+    best = ends.join(often, "lead").groupBy("item").agg(F.max(F.struct("times", "lead", "held")).alias("m"))
+    return best.select("item", "m.lead", "m.held")
+
+
+def few(keys: DataFrame, rows: int | None = None) -> DataFrame:
+    """Keys to be joined: broadcast if their rows (or the numbers they hold) are at most ``BROADCAST_KEYS``."""
+    return F.broadcast(keys) if (keys.count() if rows is None else rows) <= BROADCAST_KEYS else keys
+
+
+def measured(pairs: DataFrame, bodies: DataFrame, overlap: Callable[[], Callable], threshold: int) -> DataFrame:
+    """The pairs with held, the overlap of their bodies' sets, and linked; ``overlap`` makes a task's function of two bodies
+    that gives the overlap and the union."""
+    a, b = (bodies.select(F.col("item").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
     rows = pairs.join(a, "a").join(b, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = overlap()
         for t in batches:
-            left, right = t.column(2).to_pylist(), t.column(3).to_pylist()
-            keep = pa.array([similar(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield t.select([0, 1]).filter(keep)
-
-    return rows.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
-
-
-def jaccard_rule(threshold: int) -> Rule:
-    """For 100 * |x & y| >= threshold * |x | y| over prefixes of n - ceil(threshold * n / 100) + 1 tokens.
-
-    With o the least overlap of two such sets, their first common token has at least o - 1 tokens after it in either; and
-    the prefix that ends first holds all their common tokens but those after it in its own set.
-    """
-    t = threshold
-
-    def sizes(l: str, x: str) -> Column:  # noqa: E741
-        return F.expr(f"100 * least({l}.n, {x}.n) >= {t} * greatest({l}.n, {x}.n)")
-
-    def room(l: str, x: str) -> Column:  # noqa: E741
-        after = [f"({s}.n - {s}.pos) * {100 + t} >= {t} * ({l}.n + {x}.n)" for s in (l, x)]
-        return F.expr(" AND ".join(after))
-
-    enough = f"common >= ceil({t} * (n + m) / {100 + t}) - ceil({t} * greatest(n, m) / 100) + 1"
-    return Rule(sizes, room, enough, "common * 50 >= n")
+            found = [of(x, y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
+            held = pa.array([f[0] for f in found], pa.int32())
+            linked = pa.array([100 * both >= threshold * union for both, union in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), held, linked], ["a", "b", "held", "linked"])
 
+    return rows.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long, held int, linked boolean")
 
-def similar_sets(threshold: int) -> Callable[[bytes, bytes], bool]:
-    def similar(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= threshold * (len(a) + len(b) - both)
 
-    return similar
+def overlap_of_hashes(x: bytes, y: bytes) -> tuple[int, int]:
+    """Of two sets of distinct 64-bit hashes."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both, len(a) + len(b) - both
