@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, materialize, scratch, slices
-from .linking import POSTING, SIGNATURE, Rule, few, link, measured, overlap_of_hashes, shared_postings, signature
+from .linking import POSTING, Rule, few, link, measured, overlap_of_hashes, shared_postings
 
 WORDS, THRESHOLD = 5, 80
 #: The sketch has a counter for this many bytes of text, within these bounds (powers of two).
 SKETCH_BYTES, SKETCH_BITS = 192, (12, 24)
 _ROWS = 1 << 12
+#: Classes of the sets' signatures.
+CLASSES = 256
 #: Sets that a task remembers, so that copies in it are posted once.
 DONE = 200_000
 
@@ -66,23 +68,23 @@ class Hasher:
         return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
-def _scan(docs: DataFrame, words: int, bits: int) -> DataFrame:
+def _scan(docs: DataFrame, words: int, bits: int, rule: Rule) -> DataFrame:
     """Rows of two kinds: a document's item, set size and signature; a block of a task's counters."""
     key_type = docs.schema["key"].dataType
-    shape = f"key {key_type.simpleString()}, item long, n int, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", block int, counts binary"
-    names = ["key", "item", "n", *SIGNATURE, "block", "counts"]
+    shape = f"key {key_type.simpleString()}, item long, n int, " + ", ".join(f"{c} long" for c in rule.signature) + ", block int, counts binary"
+    names = ["key", "item", "n", *rule.signature, "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts, key_arrow = Hasher(words), np.zeros(1 << bits, np.uint32), pa.null()
         for batch in batches:
             key_arrow = batch.column(0).type
             for b in slices(batch):
-                items, sizes, signs = [], np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, len(SIGNATURE)), np.int64)
+                items, sizes, signs = [], np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, len(rule.signature)), np.int64)
                 for i, t in enumerate(b.column(1).to_pylist()):
                     s = hasher.shingles(t)
                     items.append(Hasher.item(s) if len(s) else None)
                     if len(s):
-                        sizes[i], signs[i] = len(s), signature(s)
+                        sizes[i], signs[i] = len(s), rule.sign(s, np.zeros(len(s)), 1)
                         np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
                 none = pa.nulls(b.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.int64()), pa.array(sizes), *map(pa.array, signs.T), pa.array(np.full(b.num_rows, -1, np.int32)), none], names)
@@ -91,7 +93,7 @@ def _scan(docs: DataFrame, words: int, bits: int) -> DataFrame:
             part = counts[at : at + width]
             if part.any():
                 data = pa.array([np.minimum(part, 65535).astype("<u2").tobytes()], pa.binary())
-                empty = [pa.nulls(1, t) for t in (key_arrow, pa.int64(), pa.int32(), *[pa.int64()] * len(SIGNATURE))]
+                empty = [pa.nulls(1, t) for t in (key_arrow, pa.int64(), pa.int32(), *[pa.int64()] * len(rule.signature))]
                 yield pa.RecordBatch.from_arrays([*empty, pa.array([at // width], pa.int32()), data], names)
 
     return docs.mapInArrow(run, shape)
@@ -134,12 +136,13 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     texts = docs.select(col(key).alias("key"), col(text).alias("text"))
+    rule = Rule(threshold, True, CLASSES)
     with scratch(spark):
         total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(max(SKETCH_BITS[0], int(total // SKETCH_BYTES).bit_length()), SKETCH_BITS[1])
-        scanned = materialize(_scan(texts, words, bits), "jaccard-scan")
+        scanned = materialize(_scan(texts, words, bits, rule), "jaccard-scan")
         rows = scanned.where("block < 0").select("key", "item", "n")
-        first = scanned.where("block < 0 AND item IS NOT NULL").groupBy("item").agg(F.min("key").alias("key"), *[F.any_value(c).alias(c) for c in ("n", *SIGNATURE)])
+        first = scanned.where("block < 0 AND item IS NOT NULL").groupBy("item").agg(F.min("key").alias("key"), *[F.any_value(c).alias(c) for c in ("n", *rule.signature)])
         classes = spark.sparkContext.broadcast(_classes(scanned, bits))  # a byte a counter
         shared = shared_postings(texts.mapInArrow(_poster(classes, bits, words, threshold), POSTING), "jaccard-postings")
 
@@ -154,9 +157,9 @@ def jaccard_components(
             items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
             needed = materialize(items.join(first, "item").select("key"), "jaccard-needed")
             sets = materialize(texts.join(few(needed), "key", "left_semi").select("text").mapInArrow(sets_of, "item long, body binary"), "jaccard-sets")
-            return materialize(measured(pairs, sets.dropDuplicates(["item"]), lambda: overlap_of_hashes, threshold), "jaccard-tried")
+            return materialize(measured(pairs, sets.dropDuplicates(["item"]), _overlaps, threshold), "jaccard-tried")
 
-        linked = link(shared, first.select("item", "n", *SIGNATURE), Rule(threshold, True), verify, "jaccard")
+        linked = link(shared, first.select("item", "n", *rule.signature), rule, verify, "jaccard")
 
         named = first.select("item", "key").join(linked.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
         names = named.groupBy("root").agg(F.min("key").alias("component_id"))
@@ -167,6 +170,10 @@ def jaccard_components(
         return materialize(out, "jaccard-components", keep=True)
 
 
+def _overlaps(x: list[bytes], y: list[bytes]) -> list[tuple[int, int]]:
+    return [overlap_of_hashes(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y, strict=True)]
+
+
 def _poster(classes, bits: int, words: int, threshold: int):
     """Postings of the texts' prefixes, task by task."""
 

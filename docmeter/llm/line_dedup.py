@@ -12,18 +12,20 @@ odds over 0.999. Equal lines are always found.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, fresh, materialize, scratch, slices
-from .linking import SIGNATURE, Rule, few, link, measured, shared_postings, signature
+from .linking import Rule, few, link, measured, overlap_of_hashes, shared_postings
 
 CHARS, THRESHOLD, BANDS, BAND_ROWS = 5, 80, 9, 5
+#: Classes of the lines' signatures.
+CLASSES = 1024
 #: Characters that are hashed at once, and lines that a task remembers, so that copies in it are posted once.
 CHUNK, DONE = 1 << 19, 200_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -95,19 +97,27 @@ def _chunks(lines: list[str], chars: int = CHUNK) -> Iterator[list[str]]:
         yield lines[at:]
 
 
-def overlap_of_lines(chars: int):
-    """Overlap and union of the sets of two lines' character shingles."""
+def line_sets(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the lines' character shingles, rising within each line, and the line of each."""
+    hashes, line = shingle_hashes(lines, chars)
+    order = np.lexsort((hashes, line))
+    hashes, line = hashes[order], line[order]
+    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])]
+    return hashes[new], line[new]
+
 
-    @lru_cache(4096)
-    def cut(line: str) -> frozenset[str]:
-        return frozenset(line[i : i + chars] for i in range(max(1, len(line) - chars + 1)))
+def overlaps(chars: int):
+    """For columns of lines x and y: overlap and union of the sets of character shingles of each pair."""
 
-    def overlap(x: str, y: str) -> tuple[int, int]:
-        a, b = cut(x), cut(y)
-        both = len(a & b)
-        return both, len(a) + len(b) - both
+    def of(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+        every, sets = list({*x, *y}), {}
+        for part in _chunks(every):
+            hashes, line = line_sets(part, chars)
+            for text, found in zip(part, np.split(hashes, np.flatnonzero(np.diff(line)) + 1), strict=True):
+                sets[text] = found
+        return [overlap_of_hashes(sets[a], sets[b]) for a, b in zip(x, y, strict=True)]
 
-    return overlap
+    return of
 
 
 def _lines(text: str | None) -> list[tuple[int, str]]:
@@ -125,8 +135,8 @@ def duplicate_lines(
     ``chars`` are one shingle. Lines of any length are compared whole; an empty table gives an empty table.
     """
     texts = docs.select(col(key).alias("key"), F.xxhash64(col(text)).alias("th"), col(text).alias("text"))
-    spark = docs.sparkSession
-    with scratch(spark):
+    rule = Rule(threshold, False, CLASSES)
+    with scratch(docs.sparkSession):
         seen = materialize(texts.mapInArrow(_places(chars), _shape(texts)), "line-places")
         postings = seen.where("size(bands) > 0").select(F.explode("bands").alias("token"), "item", F.lit(0).alias("pos"), F.lit(False).alias("hot"))
         shared = shared_postings(postings, "line-bands")
@@ -139,13 +149,13 @@ def duplicate_lines(
         held = needed.agg(F.sum(F.size("wanted"))).first()[0] or 0
         same = F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))
         found = texts.join(few(needed, held), same).select("text", "wanted")
-        shape = "item long, body string, n int, " + ", ".join(f"{c} long" for c in SIGNATURE)
-        bodies = materialize(found.mapInArrow(_bodies(chars), shape), "line-bodies").dropDuplicates(["item"])
+        shape = "item long, body string, n int, " + ", ".join(f"{c} long" for c in rule.signature)
+        bodies = materialize(found.mapInArrow(_bodies(chars, rule), shape), "line-bodies").dropDuplicates(["item"])
 
         def verify(pairs: DataFrame) -> DataFrame:
-            return materialize(measured(pairs, bodies.select("item", "body"), lambda: overlap_of_lines(chars), threshold), "line-tried")
+            return materialize(measured(pairs, bodies.select("item", "body"), overlaps(chars), threshold), "line-tried")
 
-        linked = link(shared, bodies.drop("body"), Rule(threshold, False), verify, "lines")
+        linked = link(shared, bodies.drop("body"), rule, verify, "lines")
 
         # Only lines that occur again, as they are or nearly so, can be dropped.
         again = first.join(linked.withColumnRenamed("node", "item"), "item", "left").join(linked.select(F.col("root").alias("r")).distinct(), F.col("item") == F.col("r"), "left")
@@ -206,26 +216,27 @@ def _places(chars: int):
     return run
 
 
-def _bodies(chars: int):
+def _bodies(chars: int, rule: Rule):
     """The wanted lines of the texts, with the sizes and signatures of their shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, 100):
-                items, bodies = [], []
-                for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                wanted = b.column(1)
+                at, items = wanted.flatten().field("line").to_pylist(), wanted.flatten().field("item")
+                sizes = pc.list_value_length(wanted).to_pylist()
+                bodies, done = [], 0
+                for text, n in zip(b.column(0).to_pylist(), sizes, strict=True):
                     lines = text.split("\n")
-                    items += [w["item"] for w in wanted]
-                    bodies += [normal_line(lines[w["line"]]) for w in wanted]
-                sizes, signs = np.zeros(len(items), np.int32), np.zeros((len(items), len(SIGNATURE)), np.int64)
-                at = 0
+                    bodies += [normal_line(lines[i]) for i in at[done : done + n]]
+                    done += n
+                done = 0
                 for part in _chunks(bodies):
-                    hashes, line = shingle_hashes(part, chars)
-                    for s in np.split(hashes, np.flatnonzero(np.diff(line)) + 1):
-                        s = np.unique(s)
-                        sizes[at], signs[at] = len(s), signature(s)
-                        at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(bodies, pa.string()), pa.array(sizes), *map(pa.array, signs.T)], ["item", "body", "n", *SIGNATURE])
+                    hashes, line = line_sets(part, chars)
+                    n = np.bincount(line, minlength=len(part)).astype(np.int32)
+                    signs = rule.sign(hashes, line, len(part))
+                    yield pa.RecordBatch.from_arrays([items.slice(done, len(part)), pa.array(part), pa.array(n), *map(pa.array, np.ascontiguousarray(signs.T))], ["item", "body", "n", *rule.signature])
+                    done += len(part)
 
     return run
 

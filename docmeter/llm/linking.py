@@ -1,8 +1,8 @@
 """Links between items that share index entries, without all pairs of a group.
 
 The index is a table of postings (token, item, pos); ``pos`` is the token's position in the
-item's ordered set. Each item has its set's size n and a signature: the parities of 256
-classes of its set's elements. The signatures of two sets differ in no more classes than
+item's ordered set. Each item has its set's size n and a signature: the parities of some
+hundred classes of its set's elements. The signatures of two sets differ in no more classes than
 the sets differ in elements, so a signature is an upper bound of the overlap that never
 loses a link. A list is one group of rows of one task; a longer list is cut into blocks by
 size and position, and pairs of blocks whose bounds of size and position leave no room for
@@ -26,37 +26,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import materialize, scratch, slices
 from .components import components
 
 #: Postings of a list that one task compares with each other; longer lists are cut into blocks of about so many.
 BLOCK = 1024
 #: Lists up to this length give all their promising pairs in the first round.
-WHOLE = 32
+WHOLE = 8
 #: Leaders of a longer list in the first round, and the pairs an item may have there before leaders are taken.
-LEADERS, DENSE = 4, 8
+LEADERS, DENSE = 3, 3
 #: So many keys (a few numbers each, 64 MB at most) are broadcast.
 BROADCAST_KEYS = 1 << 20
-#: Bits of a signature.
-CLASSES = 256
 POSTING = "token long, item long, pos int, hot boolean"
-SIGNATURE = [f"s{i}" for i in range(CLASSES // 64)]
-_ROWS = [*SIGNATURE, "item", "n", "pos", "root", "lead", "held"]
+_ROWS = ["item", "n", "pos", "root", "lead", "held"]
 
 
 @dataclass(frozen=True)
 class Rule:
     """Links: 100 * |x & y| >= threshold * |x | y|. With ``by_position`` tokens are the sets' elements in one order for all,
-    so that a pair's first common token leaves room for the overlap after it."""
+    so that a pair's first common token leaves room for the overlap after it. ``classes`` (a power of two, 64 at least) are
+    those of the signatures; they tell sets of up to about 1.5 times so many elements apart."""
 
     threshold: int
     by_position: bool
+    classes: int
 
+    @property
+    def signature(self) -> list[str]:
+        return [f"s{i}" for i in range(self.classes // 64)]
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the classes of distinct hashes, as signed 64-bit numbers."""
-    odd = np.bincount((hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64)
+    @property
+    def columns(self) -> list[str]:
+        return [*self.signature, *_ROWS]
+
+    def sign(self, hashes: np.ndarray, of: np.ndarray, sets: int) -> np.ndarray:
+        """sets x classes / 64 signed numbers: the parities of the classes; ``of`` is the set of each distinct hash."""
+        cell = of.astype(np.int64) * self.classes + (hashes & np.uint64(self.classes - 1)).astype(np.int64)
+        odd = np.bincount(cell, minlength=sets * self.classes).astype(np.uint8) & 1
+        return np.packbits(odd).view(np.int64).reshape(sets, -1)
 
 
 def shared_postings(postings: DataFrame, name: str) -> DataFrame:
@@ -113,10 +120,10 @@ def index_lists(shared: DataFrame, items: DataFrame, name: str) -> DataFrame:
 class _Rows:
     """Columns of one side of a comparison."""
 
-    def __init__(self, b: pa.RecordBatch):
+    def __init__(self, b: pa.RecordBatch, rule: Rule):
         for c in _ROWS:
             setattr(self, c, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False))
-        self.sig = np.stack([getattr(self, c) for c in SIGNATURE], axis=1).view(np.uint64)
+        self.sig = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in rule.signature], axis=1).view(np.uint64)
 
 
 def _promising(x: _Rows, i: np.ndarray, y: _Rows, j: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +134,7 @@ def _promising(x: _Rows, i: np.ndarray, y: _Rows, j: np.ndarray, rule: Rule) ->
     if rule.by_position:
         ok &= np.minimum(n - x.pos[i], m - y.pos[j]) >= least
     differ = np.zeros(np.broadcast_shapes(i.shape, j.shape), np.int16)
-    for k in range(CLASSES // 64):
+    for k in range(x.sig.shape[1]):
         differ += np.bitwise_count(x.sig[i, k] ^ y.sig[j, k])
     ok &= differ <= n + m - 2 * least
     # Held against the same leader, what each has outside of the overlap with it bounds the rest.
@@ -153,7 +160,7 @@ def _block(x: _Rows, xs: np.ndarray, y: _Rows, ys: np.ndarray, rule: Rule, leade
         ok, differ = _promising(x, xs[at : at + 64, None], y, ys[None, :], rule)
         found[at : at + 64] = ok
         if leaders:
-            gap[at : at + 64] = np.where(ok, differ, CLASSES + 1)
+            gap[at : at + 64] = np.where(ok, differ, rule.classes + 1)
     if not leaders or found.sum() <= 2 * DENSE * len(xs):
         i, j = np.nonzero(found)
         yield xs[i], ys[j]
@@ -175,10 +182,10 @@ def _compare(rows: DataFrame, rule: Rule, first: bool) -> DataFrame:
     """(a, b): promising pairs of each group (token, u, v); side 0: of the group's rows, sides 1 and 2: between the two sides."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["token", "u", "v"]
-    dealt = rows.select(*key, "side", *_ROWS).repartition(parts, *key).sortWithinPartitions(*key, "side", "item")
+    dealt = rows.select(*key, "side", *rule.columns).repartition(parts, *key).sortWithinPartitions(*key, "side", "item")
 
     def pairs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = _Rows(b)
+        x = _Rows(b, rule)
         group = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in key])
         side = b.column("side").to_numpy(zero_copy_only=False)
         new = np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)]
@@ -225,8 +232,8 @@ def _compare(rows: DataFrame, rule: Rule, first: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _alone(lists: DataFrame) -> DataFrame:
-    return lists.select("token", F.col("block").alias("u"), F.col("block").alias("v"), F.lit(0).alias("side"), *_ROWS)
+def _alone(lists: DataFrame, rule: Rule) -> DataFrame:
+    return lists.select("token", F.col("block").alias("u"), F.col("block").alias("v"), F.lit(0).alias("side"), *rule.columns)
 
 
 def _across(lists: DataFrame, rule: Rule) -> DataFrame:
@@ -238,7 +245,7 @@ def _across(lists: DataFrame, rule: Rule) -> DataFrame:
     )
     pairs = bounds.alias("l").join(bounds.alias("x"), (F.col("l.token") == F.col("x.token")) & (F.col("l.block") <= F.col("x.block")) & _reach(rule))
     pairs = materialize(pairs.select(F.col("l.token").alias("token"), F.col("l.block").alias("u"), F.col("x.block").alias("v")), "link-blocks")
-    short = _alone(lists.where(F.col("c") <= BLOCK))
+    short = _alone(lists.where(F.col("c") <= BLOCK), rule)
     if pairs.isEmpty():
         return short
     own = lists.where(F.col("c") > BLOCK)
@@ -246,7 +253,7 @@ def _across(lists: DataFrame, rule: Rule) -> DataFrame:
     for side, end, which in sides:
         some = pairs.where(which).select(F.col("token").alias("t"), "u", "v")
         part = own.join(some, (F.col("token") == F.col("t")) & (F.col("block") == F.col(end)))
-        short = short.unionByName(part.select("token", "u", "v", F.lit(side).alias("side"), *_ROWS))
+        short = short.unionByName(part.select("token", "u", "v", F.lit(side).alias("side"), *rule.columns))
     return short
 
 
@@ -267,7 +274,7 @@ def link(shared: DataFrame, items: DataFrame, rule: Rule, verify: Callable[[Data
     with scratch(shared.sparkSession):
         lists = index_lists(shared, items, f"{name}-lists")
         alone = lists.withColumns({"root": F.col("item"), "lead": F.col("item"), "held": F.lit(0)})
-        tried = materialize(verify(materialize(_compare(_alone(alone), rule, True), f"{name}-first")), f"{name}-tried")
+        tried = materialize(verify(materialize(_compare(_alone(alone, rule), rule, True), f"{name}-first")), f"{name}-tried")
         roots = components(tried.where("linked"))
         # The other pairs are in lists of which the first round left some out.
         long = lists.where(F.col("c") > WHOLE)
@@ -295,25 +302,24 @@ def few(keys: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(keys) if (keys.count() if rows is None else rows) <= BROADCAST_KEYS else keys
 
 
-def measured(pairs: DataFrame, bodies: DataFrame, overlap: Callable[[], Callable], threshold: int) -> DataFrame:
-    """The pairs with held, the overlap of their bodies' sets, and linked; ``overlap`` makes a task's function of two bodies
-    that gives the overlap and the union."""
+def measured(pairs: DataFrame, bodies: DataFrame, overlaps: Callable[[list, list], list[tuple[int, int]]], threshold: int) -> DataFrame:
+    """The pairs with held, the overlap of their bodies' sets, and linked; ``overlaps`` gives overlap and union of columns of bodies."""
     a, b = (bodies.select(F.col("item").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
     rows = pairs.join(a, "a").join(b, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = overlap()
-        for t in batches:
-            found = [of(x, y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
-            held = pa.array([f[0] for f in found], pa.int32())
-            linked = pa.array([100 * both >= threshold * union for both, union in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), held, linked], ["a", "b", "held", "linked"])
+        for batch in batches:
+            for t in slices(batch):
+                found = overlaps(t.column(2).to_pylist(), t.column(3).to_pylist())
+                held = pa.array([f[0] for f in found], pa.int32())
+                linked = pa.array([100 * both >= threshold * union for both, union in found], pa.bool_())
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), held, linked], ["a", "b", "held", "linked"])
 
     return rows.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long, held int, linked boolean")
 
 
-def overlap_of_hashes(x: bytes, y: bytes) -> tuple[int, int]:
-    """Of two sets of distinct 64-bit hashes."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    both = len(np.intersect1d(a, b, assume_unique=True))
+def overlap_of_hashes(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Overlap and union of two sets of distinct rising hashes."""
+    found = np.sort(np.concatenate([a, b]), kind="stable")
+    both = int(np.count_nonzero(found[1:] == found[:-1]))
     return both, len(a) + len(b) - both
