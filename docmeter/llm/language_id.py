@@ -21,11 +21,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_outputs
+from .common import col, drop_outputs, fresh
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters. The pattern also takes numbers that are no digits, such as the half sign; these part words."""
+    found = _WORD.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where the words of ``words_of`` begin and end."""
+    out = []
+    for m in _WORD.finditer(text):
+        at = m.start()
+        for x in [m.group()] if m.group().isalpha() else "".join(c if c.isalpha() else " " for c in m.group()).split(" "):
+            if x:
+                out.append((at, at + len(x)))
+            at += len(x) + 1
+    return out
+
 # First and last code point of the ranges that tell scripts apart.
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x0370, 0x03FF), ("greek", 0x1F00, 0x1FFF),
@@ -110,7 +130,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         words: dict[str, Counter] = {}
         for b in batches:
             for text, lang in zip(b["text"], b["lang"], strict=True):
-                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_of(text.lower()))
         for lang, found in words.items():
             grams, scripts = Counter(), Counter()
             for word, n in found.items():
@@ -172,7 +192,7 @@ class Tagger:
     def batch(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         out, block, size = [], [], 0
         for text in texts:
-            words = _WORD.findall(text.lower()) if text else []
+            words = words_of(text.lower()) if text else []
             block.append((text, words))
             size += len(words)
             if size >= self.words:
@@ -207,15 +227,9 @@ class Tagger:
 
     def _spans(self, text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
         """Spans in the text itself, when lower-casing kept its words; else one span for each label's run by the lower-cased text."""
-        places = [m.span() for m in _WORD.finditer(text)] if (labels != labels[0]).any() else None
-        if places is None:
-            first = _WORD.search(text)
-            last = len(text)
-            while last and not _WORD.match(text[last - 1]):
-                last -= 1
-            return [(first.start() if first else 0, last, self.model.languages[labels[0]])]
+        places = word_places(text)
         if len(places) != len(labels):
-            places = [m.span() for m in _WORD.finditer(text.lower())]
+            places = word_places(text.lower())
         cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1), len(labels)]
         return [(places[a][0], places[b - 1][1], self.model.languages[labels[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -240,5 +254,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", settings: Settin
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     udf = F.pandas_udf(run, "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
-    rows = drop_outputs(docs.withColumn("_text", F.col(text)), "lang_pred", "score", "spans")
-    return rows.withColumn("_found", udf("_text")).select(*[F.col(f"`{c}`") for c in rows.columns if c != "_text"], "_found.*")
+    (name,) = fresh(docs, "found")
+    kept = drop_outputs(docs, "lang_pred", "score", "spans").columns
+    return docs.withColumn(name, udf(col(text))).select(*map(col, kept), F.col(f"{name}.*"))
