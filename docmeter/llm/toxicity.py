@@ -23,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_outputs
+from .common import col, drop_outputs, fresh
 
 _WORD = re.compile(r"[^\W_]+")
+#: Words that a task remembers or counts at once.
+HELD = 100_000
 
 
 @dataclass(frozen=True)
@@ -136,8 +138,14 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 found = {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}
                 counts.update((t, label) for t in found)
                 counts[("", label)] += 1
+                if len(counts) > HELD:  # counts are summed over all parts afterwards
+                    yield part(counts)
+                    counts.clear()
         if counts:
-            yield pd.DataFrame({"term": [t for t, _ in counts], "label": [y for _, y in counts], "n": list(counts.values())})
+            yield part(counts)
+
+    def part(counts: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"term": [t for t, _ in counts], "label": [y for _, y in counts], "n": list(counts.values())})
 
     seen = examples.mapInPandas(presence, "term string, label int, n long").groupBy("term").pivot("label", [0, 1]).agg(F.sum("n")).fillna(0)
     totals = seen.where("term = ''").first()
@@ -184,8 +192,8 @@ def _counts(text: str, idf: dict[str, float], cache: dict[str, tuple[str, ...]]
     return out
 
 
-def classify(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1), predicted (1 from 0.5 on) and evidence: the neighbours that voted.
+def classify(docs: DataFrame, index: Index, text: str = "text", outputs: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
+    """``docs`` with ``outputs``: score (0 to 1), predicted (1 from 0.5 on) and evidence, the neighbours that voted.
 
     Only the text is read, whole. Texts that are null, empty or without a chosen term get the share of toxic examples (0
     without examples) and no evidence. Repeated rows get equal scores; an empty table stays empty; columns named as an
@@ -196,10 +204,10 @@ def classify(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ix, cache = shared.value, {}
         for texts in batches:
-            if len(cache) > 300_000:
-                cache.clear()
             scores, evidence = [], []
             for t in texts:
+                if len(cache) > HELD:
+                    cache.clear()
                 score, who, cos = ix.score(ix.vector(_counts(t or "", ix.idf, cache)))
                 scores.append(score)
                 evidence.append([{"doc_id": int(ix.ids[i]), "label": int(ix.labels[i]), "cosine": float(c)} for i, c in zip(who, cos, strict=True)])
@@ -207,5 +215,7 @@ def classify(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     udf = F.pandas_udf(run, "score double, predicted int, evidence array<struct<doc_id:long,label:int,cosine:double>>")
-    rows = drop_outputs(docs.withColumn("_text", F.col(text)), "score", "predicted", "evidence")
-    return rows.withColumn("_found", udf("_text")).select(*[F.col(f"`{c}`") for c in rows.columns if c != "_text"], "_found.*")
+    (name,) = fresh(docs, "found")
+    kept = drop_outputs(docs, *outputs).columns
+    found = [col(name)[c].alias(o) for c, o in zip(("score", "predicted", "evidence"), outputs, strict=True)]
+    return docs.withColumn(name, udf(col(text))).select(*map(col, kept), *found)
