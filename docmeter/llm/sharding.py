@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_outputs
+from .common import col, drop_outputs, fresh
 
 BUCKET_BYTES = 64 << 20
 #: Prefix sums over buckets are taken within groups of so many, then over the groups.
@@ -41,7 +41,7 @@ def shard_rows(
     Law ``rows``: the shards' counts differ by one at most, whatever the keys and sizes are.
 
     * Rows are never dropped: null keys, null texts and repeated rows each take a slot of their own. Rows with the
-      same key share a bucket, so the key should be (nearly) unique; texts may repeat at will.
+      same key and text share a bucket; keys alone and texts alone may repeat at will.
     * An empty table gives an empty table. Columns named as an output are replaced by it.
     * A bucket holds about ``bucket_bytes`` of text; one longer text makes its bucket as much larger.
     """
@@ -50,7 +50,8 @@ def shard_rows(
     docs = drop_outputs(docs, shard_col, slot_col)
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("b")).first()["b"] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
-    scatter = F.xxhash64(F.lit(seed), F.col(key))
+    # Rows of one key are told apart by their texts, so a hot key is spread as well.
+    scatter = F.xxhash64(F.lit(seed), col(key), col(text))
     bucket = F.pmod(scatter, F.lit(buckets)).cast("int")
 
     counts = docs.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
@@ -64,15 +65,16 @@ def shard_rows(
     if buckets <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [col(c) for c in docs.columns]
+    at, by = fresh(docs, "bucket", "order")
     dealt = (
-        docs.withColumn("_bucket", bucket)
-        .withColumn("_order", scatter)
-        .repartitionById(buckets, "_bucket")
-        .sortWithinPartitions("_bucket", "_order", key, F.crc32(F.coalesce(F.col(text), F.lit(""))))
+        docs.withColumn(at, bucket)
+        .withColumn(by, scatter)
+        .repartitionById(buckets, at)
+        .sortWithinPartitions(at, by, col(key), F.crc32(F.coalesce(col(text), F.lit(""))))
     )
     shuffled = (
-        dealt.groupBy("_bucket")
+        dealt.groupBy(F.col(at).alias("_bucket"))
         .agg(F.collect_list(F.struct(*columns)).alias("_rows"))
         .select("_bucket", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_pos", "_row"))
     )
