@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD, materialize
+from .common import ASCII_WORD, col, fresh, materialize
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2.0, 17
 
 
 def word_count(text: str | Column = "text") -> Column:
-    col = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.regexp_count(col, F.lit(ASCII_WORD)), F.lit(0)).cast("long")
+    body = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.regexp_count(body, F.lit(ASCII_WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(
@@ -77,7 +77,7 @@ def expected_copies(
     * ``copies`` is at most ``cap`` rounded up. An empty table gives an empty table. Other columns are left out.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(size).alias("_size"))
+    narrow = docs.select(col(key).alias("_key"), col(source).alias("_source"), col(size).alias("_size"))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_key").cast("string"), F.lit(""))))
     narrow = narrow.withColumn("_draw", draw)
     order = ["_size", "_draw", "_key"]
@@ -112,13 +112,13 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     Texts move once, by key. Repeated rows (same key, source and size) are numbered on both sides, so each keeps its own
     copies. Nulls, empty tables and rows of size 0 are treated as in ``expected_copies``.
     """
-    columns = docs.columns
-    sized = docs.withColumn("_words", word_count(text))
-    taken = expected_copies(sized, key, source, "_words", **options)
-    taken = taken.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("_words").alias("_w"), "copies")
-    taken = taken.withColumn("_nth", F.row_number().over(W.partitionBy("_k", "_s", "_w").orderBy(F.desc("copies"))))
-    nth = W.partitionBy(key, source, "_words").orderBy(F.crc32(F.coalesce(F.col(text), F.lit(""))))
-    sized = sized.withColumn("_rank", F.row_number().over(nth))
-    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_w")) & (F.col("_rank") == F.col("_nth"))
-    joined = sized.join(taken.where("copies > 0"), same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    words, k, s, w, copies, nth, rank, again = fresh(docs, "words", "k", "s", "w", "copies", "nth", "rank", "again")
+    sized = docs.withColumn(words, word_count(col(text)))
+    taken = expected_copies(sized, key, source, words, **options)
+    taken = taken.select(col(key).alias(k), col(source).alias(s), F.col(words).alias(w), F.col("copies").alias(copies))
+    taken = taken.withColumn(nth, F.row_number().over(W.partitionBy(k, s, w).orderBy(F.desc(copies))))
+    place = W.partitionBy(col(key), col(source), words).orderBy(F.crc32(F.coalesce(col(text), F.lit(""))))
+    sized = sized.withColumn(rank, F.row_number().over(place))
+    same = col(key).eqNullSafe(F.col(k)) & col(source).eqNullSafe(F.col(s)) & (F.col(words) == F.col(w)) & (F.col(rank) == F.col(nth))
+    joined = sized.join(taken.where(F.col(copies) > 0), same)
+    return joined.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[col(c) for c in docs.columns])
