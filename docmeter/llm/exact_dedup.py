@@ -9,19 +9,19 @@ are then checked on full bytes: texts of one digest that differ are told apart.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ASCII_SPACE, scratch_path
+from .common import ASCII_SPACE, scratch_path, settings
 
 #: Least number of state stores, and the bytes of input above which there is another one. A store takes 5 MB of disk even
 #: when it is nearly empty, and their number is fixed for the life of a stream, whatever batch queries shuffle by.
 STATE_STORES, STORE_BYTES = 48, 256 << 20
 
+#: So many digests with several rows (a number each, 32 MB at most) are broadcast to find the rows whose bytes are compared.
+BROADCAST_HITS = 1 << 21
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = "spark.sql.streaming"
 
@@ -65,7 +65,7 @@ def keeper_state(
         batch.write.mode("overwrite").parquet(f"{out}/changes/epoch={epoch}")
 
     stores = max(STATE_STORES, _bytes(spark, path) // STORE_BYTES)
-    with _settings(spark, {f"{_STATE}.stateStore.providerClass": ROCKSDB, f"{_STATE}.internal.stateStore.partitions": str(stores)}):
+    with settings(spark, {f"{_STATE}.stateStore.providerClass": ROCKSDB, f"{_STATE}.internal.stateStore.partitions": str(stores)}):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", f"{out}/stream")
@@ -81,18 +81,6 @@ def keeper_state(
     return changes.groupBy("digest").agg(F.max_by("keep", "epoch").alias("keep"), F.max("n").alias("n"))
 
 
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
-    old = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _bytes(spark: SparkSession, path: str) -> int:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
@@ -119,7 +107,10 @@ def exact_dedup(
     rows = _digested(table, id_col, text)
 
     # Hits are compared byte by byte. Copies meet in the map side already, so a hot text is not gathered in one task.
+    hits = state.where("n > 1").select(F.xxhash64("digest").alias("hit"))
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
     bodies = table.select(normalised(text).alias("body")).withColumn("digest", F.sha2("body", 256))
+    bodies = bodies.join(hits, F.xxhash64("digest") == F.col("hit"), "left_semi")
     checked = bodies.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b"))
     if checked.where("a <> b").select("digest").isEmpty():
         return _decide(rows, state)
