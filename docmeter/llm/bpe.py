@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_outputs
+from .common import col, drop_outputs, fresh
 
 #: Characters after which the next safe boundary is taken.
 CHUNK_CHARS = 65_536
@@ -69,15 +69,8 @@ class Codec:
         return self.encoding.decode_bytes(np.frombuffer(bytes(ids), dtype="<u4").tolist())
 
 
-#: Rows of an Arrow batch: texts, ids and decoded bytes of a batch are held at once.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def _read_ranks(spark: SparkSession, rank_file: str):
-    """Keeps the session's Arrow batches small; the rank file's bytes as a broadcast: its size is that of the vocabulary, whatever the corpus is."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """The rank file's bytes as a broadcast: its size is that of the vocabulary, whatever the corpus is."""
     with open(rank_file, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -86,8 +79,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
     """``docs`` with ``ids_col``: binary, the token ids of the whole text as little-endian unsigned 32-bit integers.
 
     Null and empty texts give an empty binary; texts of any length are encoded whole; repeated rows are encoded
-    alike; an empty table stays empty; a column named as the output is replaced by it. Rows are not moved: this is
-    a map over partitions.
+    alike; an empty table stays empty; a column named as the output is replaced by it, all others stay. Rows are not
+    moved: this is a map over partitions.
     """
     ranks = _read_ranks(docs.sparkSession, rank_file)
 
@@ -96,8 +89,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
         for texts in batches:
             yield pd.Series([codec.encode(t) for t in texts], dtype=object)
 
-    udf = F.pandas_udf(_typed(run), "binary")
-    return drop_outputs(docs.withColumn("_text", F.col(text)), ids_col).withColumn(ids_col, udf("_text")).drop("_text")
+    return _with(docs, {ids_col: F.pandas_udf(_typed(run), "binary")(col(text))})
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str, ids: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -109,8 +101,33 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, ids: str = "ids", by
         for some in batches:
             yield pd.Series([codec.decode(i) for i in some], dtype=object)
 
-    udf = F.pandas_udf(_typed(run), "binary")
-    return drop_outputs(tokens.withColumn("_ids", F.col(ids)), bytes_col).withColumn(bytes_col, udf("_ids")).drop("_ids")
+    return _with(tokens, {bytes_col: F.pandas_udf(_typed(run), "binary")(col(ids))})
+
+
+def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``docs`` with ``ids_col`` as of ``encode`` and ``bytes_col`` as of ``decode`` of these ids, by one codec a task."""
+    ranks = _read_ranks(docs.sparkSession, rank_file)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = Codec(ranks.value, pattern)
+        for texts in batches:
+            for at in range(0, len(texts), 500):  # ids and bytes of so many texts are held at once
+                ids = [codec.encode(t) for t in texts.iloc[at : at + 500]]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([codec.decode(i) for i in ids], dtype=object)})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    found = F.pandas_udf(run, "ids binary, decoded binary")(col(text))
+    (name,) = fresh(docs, "found")
+    rows = docs.withColumn(name, found)
+    kept = drop_outputs(docs, ids_col, bytes_col).columns
+    return rows.select(*map(col, kept), col(name)["ids"].alias(ids_col), col(name)["decoded"].alias(bytes_col))
+
+
+def _with(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
+    names = fresh(rows, *made)
+    wide = rows.withColumns(dict(zip(names, made.values(), strict=True)))
+    kept = drop_outputs(rows, *made).columns
+    return wide.select(*map(col, kept), *[col(n).alias(m) for n, m in zip(names, made, strict=True)])
 
 
 def _typed(run):

@@ -31,7 +31,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rank_file, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, rank_file, pattern), rank_file, pattern)
+    out = bpe.encode_decode(docs, rank_file, pattern)
     return out.select(
         "doc_id",
         bpe.token_count(F.col("ids")).alias("n_tokens"),
