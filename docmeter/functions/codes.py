@@ -13,7 +13,7 @@ CURP_ALPHABET = "0123456789ABCDEFGHIJKLMNÑOPQRSTUVWXYZ"
 CURP_PATTERN = r"^[A-Z][AEIOUX][A-Z]{2}\d{6}[HMX][A-Z]{2}[B-DF-HJ-NP-TV-Z]{3}[0-9A-Z]\d$"
 VOWELS = ("A", "E", "I", "O", "U")
 NAME_PARTICLES = ("DA", "DAS", "DE", "DEL", "DER", "DI", "DIE", "DD", "EL", "LA", "LAS", "LE", "LES", "LOS", "MAC", "MC", "VAN", "VON", "Y")
-SKIPPED_NAMES = ("JOSE", "J", "MARIA", "MA")
+SKIPPED_NAMES = ("JOSE", "J", "MARIA", "MA", "M")
 MRZ_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

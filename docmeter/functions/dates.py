@@ -41,7 +41,9 @@ def add_years(c: Column, years: int) -> Column:
 
 
 def age_on(birth: Column, day: Column) -> Column:
-    return F.floor(F.months_between(day, birth) / 12).cast("int")
+    """Whole years: one born on 29 February is a year older on 1 March of a common year."""
+    later = (F.month(day) * 100 + F.dayofmonth(day)) < (F.month(birth) * 100 + F.dayofmonth(birth))
+    return F.year(day) - F.year(birth) - later.cast("int")
 
 
 def last_day_of_year(year: Column) -> Column:
