@@ -44,8 +44,7 @@ def spread_variant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stratified_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    kinds = ["src0", "src1", "src2", "src3", "src4"]
-    return S.round_robin(table(spark, d, "documents"), "lang", "source", kinds, "doc_id", 12).select("lang", "source", "doc_id", F.col("taken").cast("long").alias("taken"))
+    return S.round_robin(table(spark, d, "documents"), "lang", "source", None, "doc_id", 12).select("lang", "source", "doc_id", F.col("taken").cast("long").alias("taken"))
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -68,19 +67,21 @@ def dedupe_by_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dup_value_suppress(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.lower(F.left("text", F.lit(1))).alias("value"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.lower("text"), 256).alias("value"))
     return S.first_of_repeated(t, "conv_id", "value", "turn").where("NOT kept").select("conv_id", "turn", "value")
 
 
 def value_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages (of seven words or more) that stand in a document, case and white space aside.
+    """Benchmark passages that stand in a document, case and white space aside.
 
-    The second to the sixth word of the passage are the join key (the first one may begin inside a word), so no cross join
-    is needed; containment then decides.
+    The second to the sixth word of the passage are the join key (the first one may begin inside a word); containment then
+    decides. Passages under seven words have no such key: these few of the benchmark are held against all documents.
     """
     five = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(5)])
     words = F.split("body", " ")
-    b = table(spark, d, "benchmark").select("item_id", T.plain_text(F.col("text")).alias("body")).where(F.size(words) >= 7)
+    every = table(spark, d, "benchmark").select("item_id", T.plain_text(F.col("text")).alias("body")).where("body <> ''")
+    short = every.where(F.size(words) < 7).select("item_id", F.col("body").alias("passage"))
+    b = every.where(F.size(words) >= 7)
     b = b.select("item_id", F.col("body").alias("passage"), five(words, F.lit(1)).alias("key"))
     docs = table(spark, d, "documents").select("doc_id", T.plain_text(F.col("text")).alias("body"))
     # The words are bound to a variable, so that the text is split once.
@@ -88,7 +89,9 @@ def value_in_text(spark: SparkSession, d: str) -> DataFrame:
     windows = F.get(F.transform(F.array(words), each), F.lit(0))
     hits = docs.select("doc_id", F.explode(windows).alias("key"))
     hits = hits.join(b, "key").select("doc_id", "item_id", "passage").distinct()
-    return hits.join(docs, "doc_id").where(F.contains("body", F.col("passage"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+    found = hits.join(docs, "doc_id").where(F.contains("body", F.col("passage"))).select("item_id", "doc_id")
+    found = found.unionByName(docs.join(F.broadcast(short), F.contains("body", F.col("passage"))).select("item_id", "doc_id"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -141,13 +144,13 @@ QUERIES = {
     preset_histogram: f"SELECT preset, count(*) AS n FROM ({_BUCKETS}) GROUP BY 1",
     derived_seed: "SELECT doc_id, ('0x' || substr(sha256('degradation:42:' || doc_id), 1, 8))::BIGINT AS seed FROM documents",
     spread_variant: "SELECT doc_id, floor((doc_id + 1) / 5) > floor(doc_id / 5) AS variant FROM documents",
-    stratified_round_robin: """WITH r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS nth, substr(source, 4)::INT AS turn FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4'))
+    stratified_round_robin: """WITH r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS nth, dense_rank() OVER (ORDER BY source NULLS LAST) AS turn FROM documents)
       SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY nth, turn) AS taken FROM r QUALIFY taken <= 12""",
     resume_pending: f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_ANSWERS}) WHERE status = 'ok' OR NOT retryable)",
     missing_default: f"SELECT doc_id, coalesce(status, 'error') AS status, CASE WHEN status IS NULL THEN 'NO_ANSWER' ELSE code END AS code FROM documents LEFT JOIN ({_ANSWERS}) USING (doc_id)",
     dedupe_by_hash: "SELECT source, sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
     dup_value_suppress: """SELECT conv_id, turn, value FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY conv_id, value ORDER BY turn) AS pos FROM
-      (SELECT conv_id, turn, lower(left(text, 1)) AS value FROM conversations) WINDOW w AS (PARTITION BY conv_id, value)) WHERE n > 2 AND pos > 1""",
+      (SELECT conv_id, turn, sha256(lower(text)) AS value FROM conversations) WINDOW w AS (PARTITION BY conv_id, value)) WHERE n > 2 AND pos > 1""",
     value_in_text: f"""SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM (SELECT item_id, {_PLAIN} AS passage FROM benchmark) b JOIN (SELECT doc_id, {_PLAIN} AS body FROM documents) d
       ON passage <> '' AND contains(body, passage) GROUP BY 1""",
     text_keys: """SELECT n_nationkey, upper(regexp_replace(n_name, '\\s+', '', 'g')) AS identifier, upper(regexp_replace(n_name, '[\\s\\-.,/|]+', '', 'g')) AS key,

@@ -233,7 +233,9 @@ QUERIES = {
     change_log: """WITH r AS (SELECT conv_id, (turn // 2)::INT AS step, unnest(['head', 'size']) AS field, unnest([left(text, 3), length(text)::VARCHAR]) AS value FROM conversations WHERE role = 'user')
       SELECT coalesce(b.conv_id, a.conv_id) AS conv_id, coalesce(b.step, a.step) AS step, coalesce(b.field, a.field) AS field, b.value AS old, a.value AS new
       FROM r b FULL JOIN (SELECT conv_id, step - 1 AS step, field, value FROM r WHERE step >= 1) a ON a.conv_id = b.conv_id AND a.step = b.step AND a.field = b.field
-      WHERE b.value IS DISTINCT FROM a.value""",
+      WHERE b.value IS DISTINCT FROM a.value
+      UNION ALL SELECT conv_id, (b.turn // 2)::INT, 'text', sha256(b.text), sha256(a.text) FROM conversations b JOIN conversations a USING (conv_id)
+      WHERE b.role = 'user' AND a.role = 'user' AND a.turn // 2 = b.turn // 2 + 1 AND left(a.text, 3) = left(b.text, 3) AND length(a.text) = length(b.text) AND a.text <> b.text""",
     keep_newest: "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 25",
     rate_check: """SELECT event_id, recent FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS recent FROM events) WHERE recent > 1""",
     state_transition: """SELECT CASE WHEN o_orderstatus IN ('O', 'P') AND o_totalprice > 200000 THEN 'Q' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1""",
