@@ -38,7 +38,8 @@ LEADERS, DENSE = 3, 3
 #: So many keys (a few numbers each, 64 MB at most) are broadcast.
 BROADCAST_KEYS = 1 << 20
 POSTING = "token long, item long, pos int, hot boolean"
-_ROWS = ["item", "n", "pos", "root", "lead", "held"]
+NARROW = ["item", "pos", "root", "lead", "held"]
+_ROWS = [*NARROW, "n"]
 
 
 @dataclass(frozen=True)
@@ -98,23 +99,22 @@ def shared_postings(postings: DataFrame, name: str) -> DataFrame:
 
 
 def index_lists(shared: DataFrame, items: DataFrame, name: str) -> DataFrame:
-    """(token, block, c, item, n, pos, s0 ...): the lists with their items' sizes and signatures; c is the list's length.
+    """(token, block, c, item, pos): the lists; c is the list's length. Sizes and signatures join them where they are read.
 
     ``block`` is 0, but in lists longer than ``BLOCK``: there sizes (by classes a quarter apart) and positions (by powers
     of two) and, within these, a hash of the item cut the list.
     """
-    rows = shared.join(items, "item")
     lengths = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    rows = materialize(rows.join(lengths.where("c > 1"), "token").withColumn("block", F.lit(0).cast("long")), name)
-    cell = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))) * 64 + F.floor(F.log2(F.col("pos") + 1))
-    long = rows.where(F.col("c") > BLOCK).select("token", cell.alias("cell"))
-    cells = long.groupBy("token", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts")).withColumnRenamed("token", "t")
-    if cells.isEmpty():
+    rows = materialize(shared.join(lengths.where("c > 1"), "token").withColumn("block", F.lit(0).cast("long")), name)
+    long = rows.where(F.col("c") > BLOCK)
+    if long.isEmpty():
         return rows
-    rows = rows.withColumn("cell", F.when(F.col("c") > BLOCK, cell))
-    cut = rows.join(cells.withColumnRenamed("cell", "d"), (F.col("token") == F.col("t")) & (F.col("cell") == F.col("d")), "left")
-    block = F.coalesce(F.col("cell") * (1 << 24) + F.pmod(F.xxhash64("item", "token"), F.col("cuts")) + 1, F.lit(0)).cast("long")
-    return materialize(cut.withColumn("block", block).drop("t", "d", "cell", "cuts"), f"{name}-cut")
+    cell = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))) * 64 + F.floor(F.log2(F.col("pos") + 1))
+    long = long.join(items.select("item", "n"), "item").withColumn("cell", cell)
+    cells = long.groupBy("token", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
+    block = (F.col("cell") * (1 << 24) + F.pmod(F.xxhash64("item", "token"), F.col("cuts")) + 1).cast("long")
+    cut = long.join(cells, ["token", "cell"]).withColumn("block", block).select(*rows.columns)
+    return materialize(rows.where(F.col("c") <= BLOCK).unionByName(cut), f"{name}-cut")
 
 
 class _Rows:
@@ -178,8 +178,9 @@ def _block(x: _Rows, xs: np.ndarray, y: _Rows, ys: np.ndarray, rule: Rule, leade
         left[mine] = left[lead] = False
 
 
-def _compare(rows: DataFrame, rule: Rule, first: bool) -> DataFrame:
+def _compare(rows: DataFrame, items: DataFrame, rule: Rule, first: bool) -> DataFrame:
     """(a, b): promising pairs of each group (token, u, v); side 0: of the group's rows, sides 1 and 2: between the two sides."""
+    rows = rows.drop("n").join(items, "item")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["token", "u", "v"]
     dealt = rows.select(*key, "side", *rule.columns).repartition(parts, *key).sortWithinPartitions(*key, "side", "item")
@@ -232,8 +233,8 @@ def _compare(rows: DataFrame, rule: Rule, first: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _alone(lists: DataFrame, rule: Rule) -> DataFrame:
-    return lists.select("token", F.col("block").alias("u"), F.col("block").alias("v"), F.lit(0).alias("side"), *rule.columns)
+def _alone(lists: DataFrame) -> DataFrame:
+    return lists.select("token", F.col("block").alias("u"), F.col("block").alias("v"), F.lit(0).alias("side"), *NARROW)
 
 
 def _across(lists: DataFrame, rule: Rule) -> DataFrame:
@@ -245,7 +246,7 @@ def _across(lists: DataFrame, rule: Rule) -> DataFrame:
     )
     pairs = bounds.alias("l").join(bounds.alias("x"), (F.col("l.token") == F.col("x.token")) & (F.col("l.block") <= F.col("x.block")) & _reach(rule))
     pairs = materialize(pairs.select(F.col("l.token").alias("token"), F.col("l.block").alias("u"), F.col("x.block").alias("v")), "link-blocks")
-    short = _alone(lists.where(F.col("c") <= BLOCK), rule)
+    short = _alone(lists.where(F.col("c") <= BLOCK))
     if pairs.isEmpty():
         return short
     own = lists.where(F.col("c") > BLOCK)
@@ -253,7 +254,7 @@ def _across(lists: DataFrame, rule: Rule) -> DataFrame:
     for side, end, which in sides:
         some = pairs.where(which).select(F.col("token").alias("t"), "u", "v")
         part = own.join(some, (F.col("token") == F.col("t")) & (F.col("block") == F.col(end)))
-        short = short.unionByName(part.select("token", "u", "v", F.lit(side).alias("side"), *rule.columns))
+        short = short.unionByName(part.select("token", "u", "v", F.lit(side).alias("side"), *NARROW))
     return short
 
 
@@ -274,14 +275,15 @@ def link(shared: DataFrame, items: DataFrame, rule: Rule, verify: Callable[[Data
     with scratch(shared.sparkSession):
         lists = index_lists(shared, items, f"{name}-lists")
         alone = lists.withColumns({"root": F.col("item"), "lead": F.col("item"), "held": F.lit(0)})
-        tried = materialize(verify(materialize(_compare(_alone(alone, rule), rule, True), f"{name}-first")), f"{name}-tried")
+        tried = materialize(verify(materialize(_compare(_alone(alone), items, rule, True), f"{name}-first")), f"{name}-tried")
         roots = components(tried.where("linked"))
         # The other pairs are in lists of which the first round left some out.
         long = lists.where(F.col("c") > WHOLE)
         if not long.isEmpty():
-            long = long.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
-            long = long.join(leaders(tried), "item", "left").withColumns({"lead": F.coalesce("lead", "item"), "held": F.coalesce("held", "n")})
-            rest = _compare(_across(materialize(long, f"{name}-long"), rule), rule, False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            long = long.join(items.select("item", "n"), "item").join(roots.withColumnRenamed("node", "item"), "item", "left").join(leaders(tried), "item", "left")
+            long = long.withColumns({"root": F.coalesce("root", "item"), "lead": F.coalesce("lead", "item"), "held": F.coalesce("held", "n")})
+            groups = _across(materialize(long, f"{name}-long"), rule)
+            rest = _compare(groups, items, rule, False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
             rest = materialize(rest, f"{name}-rest")
             if not rest.isEmpty():
                 edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
