@@ -138,7 +138,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 for g in grams_of(word):
                     grams[g] += n
             for kind, counter in (("gram", grams), ("script", scripts)):
-                yield pd.DataFrame({"kind": kind, "lang": lang, "item": list(counter), "n": list(counter.values())})
+                if counter:
+                    yield pd.DataFrame({"kind": kind, "lang": lang, "item": list(counter), "n": list(counter.values())})
 
     counts = rows.mapInPandas(count, "kind string, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.desc("kind"), F.desc("n"), "lang", "item").limit(s.grams).collect()
