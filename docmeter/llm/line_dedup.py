@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, fresh, materialize, scratch, slices
-from .linking import Rule, few, link, measured, overlap_of_hashes, shared_postings
+from .linking import Rule, few, link, measured, overlap_of_hashes
 
 CHARS, THRESHOLD, BANDS, BAND_ROWS = 5, 80, 9, 5
 #: Classes of the lines' signatures.
 CLASSES = 1024
 #: Characters that are hashed at once, and lines that a task remembers, so that copies in it are posted once.
 CHUNK, DONE = 1 << 19, 200_000
+#: Postings that one task of the index sorts, and those that are dealt to the tasks at once.
+BUCKET, DEAL = 1 << 21, 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,9 +139,11 @@ def duplicate_lines(
     texts = docs.select(col(key).alias("key"), F.xxhash64(col(text)).alias("th"), col(text).alias("text"))
     rule = Rule(threshold, False, CLASSES)
     with scratch(docs.sparkSession):
-        seen = materialize(texts.mapInArrow(_places(chars), _shape(texts)), "line-places")
-        postings = seen.where("size(bands) > 0").select(F.explode("bands").alias("token"), "item", F.lit(0).alias("pos"), F.lit(False).alias("hot"))
-        shared = shared_postings(postings, "line-bands")
+        with scratch(docs.sparkSession):
+            # Bands take most of the room, so they go as soon as the index stands.
+            places = materialize(texts.mapInArrow(_places(chars), _shape(texts)), "line-places")
+            shared = materialize(distinct_lists(shared_bands(places)), "line-lists", keep=True)
+            seen = materialize(places.drop("bands"), "line-seen", keep=True)
         at = F.struct(F.col("key").isNull().alias("no_key"), "key", "th", "line")
         first = materialize(seen.where("item IS NOT NULL").groupBy("item").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("c")), "line-items")
 
@@ -174,6 +178,80 @@ def duplicate_lines(
         return materialize(out, "line-drops", keep=True)
 
 
+def shared_bands(places: DataFrame) -> DataFrame:
+    """(token, item, pos) of the bands that several lines have. Each task sorts the bands of one range of hashes.
+
+    Postings cross the shuffle in packs, 16 bytes each. The number of tasks grows with that of the lines; bands that very
+    many lines have are given out as they come, so that no task holds them (a line may then be listed twice).
+    """
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, -(-places.where("item IS NOT NULL").count() * BANDS // BUCKET))
+
+    def packs(tokens: list[np.ndarray], items: list[np.ndarray]) -> pa.RecordBatch:
+        token, item = np.concatenate(tokens), np.concatenate(items)
+        part = ((token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        found, sizes = np.unique(part[order], return_counts=True)
+        offsets = pa.py_buffer(np.r_[0, np.cumsum(sizes * 8)].astype(np.int32))
+        data = [pa.Array.from_buffers(pa.binary(), len(found), [None, offsets, pa.py_buffer(x[order])]) for x in (token, item)]
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *data], ["part", "tokens", "items"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, items, size = [], [], 0
+        for b in batches:
+            tokens.append(b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            items.append(np.repeat(b.column(0).to_numpy(zero_copy_only=False), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)))
+            size += len(items[-1])
+            if size >= DEAL:
+                yield packs(tokens, items)
+                tokens, items, size = [], [], 0
+        if size:
+            yield packs(tokens, items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, item, known = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        more: list[tuple[np.ndarray, np.ndarray]] = []
+        size, limit = 0, 2 * BUCKET
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal token, item, known, more, size, limit
+            token, item = (np.concatenate([x, *(m[i] for m in more)]) for i, x in enumerate((token, item)))
+            order = np.lexsort((item, token))
+            token, item = token[order], item[order]
+            new = np.r_[True, (token[1:] != token[:-1]) | (item[1:] != item[:-1])][: len(token)]
+            token, item = token[new], item[new]
+            same = token[1:] == token[:-1]
+            several = (np.r_[False, same] | np.r_[same, False])[: len(token)]
+            several |= np.isin(token, known)
+            known = np.union1d(known, token[several])
+            out = token[several].view(np.int64), item[several]
+            token, item, more = token[~several], item[~several], []
+            size, limit = len(token), max(2 * BUCKET, 2 * len(token))
+            for at in range(0, len(out[0]), DEAL):
+                t, i = (pa.array(x[at : at + DEAL]) for x in out)
+                yield pa.RecordBatch.from_arrays([t, i, pa.array(np.zeros(len(t), np.int32))], ["token", "item", "pos"])
+
+        for b in batches:
+            more.append((np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64), np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)))
+            size += len(more[-1][0])
+            if size >= limit:
+                yield from settle()
+        yield from settle()
+
+    packed = places.where("size(bands) > 0").select("item", "bands").mapInArrow(deal, "part int, tokens binary, items binary")
+    return materialize(packed.repartitionById(parts, "part").mapInArrow(run, "token long, item long, pos int"), "line-bands")
+
+
+def distinct_lists(shared: DataFrame) -> DataFrame:
+    """Of lists of the same lines only one: near copies share most of their bands, so most lists say the same.
+
+    Lists are told apart by length and two sums of hashes of their lines (33 bits each, so that no list overflows them).
+    """
+    sums = [F.sum(F.shiftright(F.xxhash64("item", F.lit(i)), 31)).alias(f"h{i}") for i in (0, 1)]
+    lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c"), *sums).where("c > 1")
+    return shared.join(lists.groupBy("c", "h0", "h1").agg(F.min("token").alias("token")).select("token"), "token")
+
+
 def _shape(texts: DataFrame) -> str:
     return f"key {texts.schema['key'].dataType.simpleString()}, th long, line int, item long, n_lines int, head boolean, bands array<long>"
 
