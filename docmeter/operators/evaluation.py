@@ -157,8 +157,10 @@ def sample_differences(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def regressions(base: DataFrame, new: DataFrame, key: Sequence[str], field: str, right: str) -> DataFrame:
-    """Per field: rows that got right or wrong between two runs."""
-    joined = base.select(*key, field, F.col(right).alias("was")).join(new.select(*key, field, F.col(right).alias("now")), [*key, field])
+    """Per field: rows that got right or wrong between two runs, over the samples of both; a field that the base lacks was wrong."""
+    had = base.select(*key, field, F.col(right).alias("was"))
+    both = new.join(base.select(*key).distinct(), list(key), "left_semi").select(*key, field, F.col(right).alias("now"))
+    joined = both.join(had, [*key, field], "left").withColumn("was", F.coalesce("was", F.lit(False)))
     return joined.groupBy(field).agg(F.count_if(~F.col("was") & F.col("now")).alias("gained"), F.count_if(F.col("was") & ~F.col("now")).alias("lost"))
 
 
