@@ -39,8 +39,17 @@ def code(c: Column) -> Column:
     return F.upper(F.trim(c))
 
 
+def composed(c: Column) -> Column:
+    """Letters of ACCENTED, Ñ and ñ that are written with a combining mark as one character; other marks stay."""
+    whole = ACCENTED + "Ññ"
+    parts, wholes = (F.split(F.lit("|".join(x)), r"\|") for x in ([unicodedata.normalize("NFD", w) for w in whole], whole))
+    pieced = F.aggregate(F.sequence(F.lit(1), F.lit(len(whole))), c, lambda t, i: F.replace(t, F.element_at(parts, i), F.element_at(wholes, i)))
+    return F.when(c.rlike(r"\p{M}"), pieced).otherwise(c)
+
+
 def plain_text(c: Column) -> Column:
-    return F.lower(collapse(c))
+    """Composed, without regard to case (ß is ss) and runs of white space."""
+    return F.replace(F.lower(collapse(composed(c))), F.lit("ß"), F.lit("ss"))
 
 
 def address(c: Column) -> Column:
@@ -48,7 +57,8 @@ def address(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED + "Ññ", PLAIN + "Nn")
+    """Plain letters; combining marks of decomposed text go."""
+    return F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), ACCENTED + "Ññ", PLAIN + "Nn")
 
 
 def upper_keep_enye(c: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +29,16 @@ def hourly_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    import tempfile
-
+    """The folder that driver and executors share; only a local master may do without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-docmeter-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found.rstrip("/") if found else _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-docmeter-")
 
 
 def value_grounding(spark: SparkSession, d: str) -> DataFrame:

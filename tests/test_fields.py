@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmeter.functions import codes as C
+from docmeter.functions.compare import compare_values
+from docmeter.functions.text import strip_accents
 from docmeter.operators import evaluation as E
 from docmeter.operators import fields as X
 
@@ -113,3 +115,9 @@ def test_a_field_that_the_base_lacks_was_wrong(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "id long, field string, ok boolean")
     got = E.regressions(rows((1, "a", True)), rows((1, "a", False), (1, "b", True), (2, "a", True)), ["id"], "field", "ok").collect()
     assert sorted(tuple(r) for r in got) == [("a", 0, 1), ("b", 1, 0)]
+
+
+def test_one_text_in_two_forms(spark):
+    same = lambda e, a: compare_values(F.lit("text"), F.lit(e), F.lit(a))
+    got = one(spark, same("Jos\u00e9", "Jose\u0301"), same("straße", "STRASSE"), same("Ñandú", "N\u0303ANDU\u0301"), same("José", "Jose"), same("José", "Juan"), strip_accents(F.lit("Jose\u0301 N\u0303")))
+    assert list(got) == ["NORMALIZED", "NORMALIZED", "NORMALIZED", "PARTIAL", "MISMATCH", "Jose N"]
