@@ -10,6 +10,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -123,6 +124,19 @@ def drop_outputs(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c.lower() not in low])
 
 
+def map_arrow(df: DataFrame, run, added: dict[str, DataType]) -> DataFrame:
+    """``run`` over the record batches of ``df``; it returns them with columns appended. Columns meet it by place, so that their names may hold dots."""
+    numbered = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    schema = StructType([*numbered.schema.fields, *[StructField(f"c{i}", t) for i, t in enumerate(added.values(), len(df.columns))]])
+    return numbered.mapInArrow(run, schema).toDF(*df.columns, *added)
+
+
+def appended(batch, columns: list):
+    """A record batch with further columns, named by place."""
+    arrays = [*batch.columns, *columns]
+    return type(batch).from_arrays(arrays, [f"c{i}" for i in range(len(arrays))])
+
+
 def text_or_empty(name: str | Column = "text") -> Column:
     return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
 

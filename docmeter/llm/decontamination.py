@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import col, drop_outputs, fresh, materialize
+from .common import appended, col, drop_outputs, fresh, map_arrow, materialize
 
 SPAN = StructType([StructField(n, LongType()) for n in ("start", "end")])
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -112,7 +112,7 @@ def decontaminate(
     kept = drop_outputs(docs, *outputs)
     names = kept.columns
     at_text = [n.lower() for n in names].index(text.lower())
-    listed, placed = fresh(kept, "_items", "_placed")
+    listed, placed, more, at = fresh(kept, "_items", "_placed", "_more", "_at")
 
     def passed(rows: DataFrame, block: Block, last: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast((tuple(block[0]), [[block[2][i] for i in held if block[2][i] is not None] for held in block[1]]))
@@ -142,23 +142,22 @@ def decontaminate(
                     spans = _merged(spans) if len(spans) else spans
                     found_items.append(sorted(mine))
                     found_spans.append((spans, raw))
-                carried = b.columns[: len(names)]
                 texts = pa.array(found_items, pa.list_(pa.string()))
                 if not last:
                     places = pa.array([s.ravel().tolist() for s, _ in found_spans], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*carried, texts, places], [*names, listed, placed])
+                    yield appended(b, [texts, places])
                     continue
                 hit = pa.array([int((s[:, 1] - s[:, 0]).sum()) for s, _ in found_spans], pa.int64())
                 shown = pa.array([_offsets(raw, s) if len(s) else [] for s, raw in found_spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*carried, pa.array(n_words, pa.int64()), hit, texts, shown], [*names, *outputs])
+                yield appended(b, [pa.array(n_words, pa.int64()), hit, texts, shown])
 
-        added = [(outputs[0], LongType()), (outputs[1], LongType()), (outputs[2], ArrayType(StringType())), (outputs[3], ArrayType(SPAN))]
-        if not last:
-            added = [(listed, ArrayType(StringType())), (placed, ArrayType(LongType()))]
-        schema = StructType([*kept.schema.fields, *[StructField(*a) for a in added]])
-        return rows.mapInArrow(search, schema)
+        added = dict(zip(outputs, (LongType(), LongType(), ArrayType(StringType()), ArrayType(SPAN)), strict=True))
+        if last:
+            return map_arrow(rows, search, added).select(*map(col, names), *map(col, outputs))
+        found = map_arrow(rows, search, {more: ArrayType(StringType()), at: ArrayType(LongType())})
+        return found.select(*map(col, names), F.col(more).alias(listed), F.col(at).alias(placed))
 
-    out, current = kept.select(*map(col, names)), None
+    out, current = kept, None
     for block in _blocks(items, parts, item, window, block_bytes):
         if current is not None:
             out = materialize(passed(out, current, False), "decontamination")

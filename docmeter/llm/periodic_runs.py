@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import col, drop_outputs
+from .common import appended, drop_outputs, map_arrow
 
 RUN = StructType([StructField(n, LongType()) for n in ("start", "length", "period")])
 #: Words that are searched together; a longer text is searched on its own.
@@ -180,12 +180,10 @@ def collapse_runs(
     """
     if least_exponent < LEAST_EXPONENT or least_exponent != int(least_exponent):
         raise ValueError(f"least_exponent must be a whole number from {LEAST_EXPONENT}")
-    kept = drop_outputs(docs, *outputs) if {text.lower(), key.lower()}.isdisjoint(n.lower() for n in outputs) else None
-    if kept is None:
+    if not {text.lower(), key.lower()}.isdisjoint(n.lower() for n in outputs):
         raise ValueError("outputs must not be named as the key or the text")
-    names = kept.columns
-    at_key, at_text = ([n.lower() for n in names].index(c.lower()) for c in (key, text))
-    schema = StructType([*kept.schema.fields, StructField(outputs[0], ArrayType(RUN)), StructField(outputs[1], StringType())])
+    kept = drop_outputs(docs, *outputs)
+    at_key, at_text = ([n.lower() for n in kept.columns].index(c.lower()) for c in (key, text))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,6 +208,6 @@ def collapse_runs(
         whole = (w if keep is None else [x for x, k in zip(w, keep.tolist(), strict=True) if k] for w, (_, keep) in zip(held, found, strict=True))
         collapsed = pa.array([b" ".join(w) for w in whole], pa.binary()).cast(pa.string(), safe=False)
         lists = pa.ListArray.from_arrays(pa.array(offsets), struct)
-        return pa.RecordBatch.from_arrays([*rows.columns, lists, collapsed], [*names, *outputs])
+        return appended(rows, [lists, collapsed])
 
-    return kept.select(*map(col, names)).mapInArrow(search, schema)
+    return map_arrow(kept, search, dict(zip(outputs, (ArrayType(RUN), StringType()), strict=True)))
