@@ -165,9 +165,10 @@ WITH i AS (
 ), d AS (
   SELECT doc_id, row_number() OVER () AS r,
          coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
-), g AS (
-  SELECT r, k, s, array_to_string(w[s:s + k - 1], ' ') AS win
-  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)
+), x AS (
+  SELECT r, s, list(word) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS x
+  FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS s FROM d)
+), g AS (SELECT r, k, s, array_to_string(x[1:k], ' ') AS win FROM x, (SELECT DISTINCT k FROM win) WHERE len(x) >= k
 ), hit AS (SELECT r, s, g.k, item_id FROM g JOIN win USING (win, k)
 ), n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM hit) GROUP BY r
 ), t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
