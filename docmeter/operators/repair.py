@@ -8,6 +8,8 @@ a person: names, birth date and sex fix most places of a code.
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from docmeter.functions.codes import CURP_ALPHABET, curp_check_digit, mrz_check_
 from docmeter.functions.dates import parse_date
 from docmeter.functions.labels import any_like
 from docmeter.functions.text import confusion_class, strip_accents
-from docmeter.operators.fields import by_template
+from docmeter.operators.fields import TO_DIGIT, TO_LETTER
 
 # Confusions that a repair by check digit may undo, the strict form of both codes, and state numbers.
 REPAIR_DIGIT = {"O": "0", "Q": "0", "D": "0", "I": "1", "L": "1", "Z": "2", "S": "5", "B": "8", "G": "6", "T": "7"}
@@ -153,20 +155,27 @@ def codes_in(text: Column) -> Column:
 # Hints: a code as far as other fields tell it, a string of 18 characters with '.' at places they do not tell.
 
 
-def _hint_words(name: Column) -> Column:
-    plain = F.upper(F.translate(strip_accents(F.replace(F.upper(name), F.lit("Ñ"), F.lit("~"))), "~", "Ñ"))
-    words = F.filter(F.split(plain, r"[\s\-]+"), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~w.isin(*HINT_PARTICLES))
-    return F.when(F.size(kept) > 0, kept).otherwise(words)
+def _hint_name(name: Column) -> Column:
+    """In capitals without accents, ñ kept."""
+    return F.translate(F.upper(strip_accents(F.translate(name, "Ññ", "~~"))), "~", "Ñ")
 
 
-def _first(words: Column) -> Column:
-    return F.coalesce(F.get(words, F.lit(0)), F.lit(""))
+_PARTICLES = "(?:(?:" + "|".join(HINT_PARTICLES) + r")[\s\-]+)*"
 
 
-def _given_word(name: Column) -> Column:
-    words = _hint_words(name)
-    return F.when((F.size(words) > 1) & F.get(words, F.lit(0)).isin(*HINT_COMMON), F.get(words, F.lit(1))).otherwise(_first(words))
+def hint_word(name: Column) -> Column:
+    """The first word that is no particle, else the first word; '' for null and for names without words."""
+    plain = _hint_name(F.coalesce(name, F.lit("")))
+    found = F.regexp_extract(plain, r"^[\s\-]*" + _PARTICLES + r"([^\s\-]+)", 1)
+    return F.when(found.isin(*HINT_PARTICLES), F.regexp_extract(plain, r"([^\s\-]+)", 1)).otherwise(found)
+
+
+def given_hint_word(name: Column) -> Column:
+    """As ``hint_word``, but the next one after a common given name that is not alone."""
+    plain = _hint_name(F.coalesce(name, F.lit("")))
+    both = r"^[\s\-]*" + _PARTICLES + r"([^\s\-]+)[\s\-]+" + _PARTICLES + r"([^\s\-]+)"
+    first, second = F.regexp_extract(plain, both, 1), F.regexp_extract(plain, both, 2)
+    return F.when(first.isin(*HINT_COMMON) & (second != "") & ~second.isin(*HINT_PARTICLES), second).otherwise(hint_word(name))
 
 
 def _inner(word: Column, letters: str) -> Column:
@@ -181,19 +190,23 @@ def _consonant(word: Column) -> Column:
     return F.translate(_inner(word, "B-DF-HJ-NÑP-TV-Z"), "Ñ", "X")
 
 
-def curp_hints(given: Column, first: Column, second: Column, birth: Column, sex: Column) -> Column:
-    """What names, birth date and sex (H, M) tell of a population code. A null or empty name tells nothing, but for an empty second surname, which stands as X."""
-    word = lambda c: _first(_hint_words(F.coalesce(c, F.lit(""))))
-    w1, w2, wn = word(first), word(second), _given_word(F.coalesce(given, F.lit("")))
+def with_hints(rows: DataFrame, given: str, first: str, second: str, birth: str, sex: str, name: str = "hints") -> DataFrame:
+    """Adds what names, birth date and sex (H, M) tell of a population code. A null or empty name tells nothing, but for an empty
+    second surname, which stands as X."""
+    words = {"_w1": hint_word(F.col(first)), "_w2": hint_word(F.col(second)), "_wn": given_hint_word(F.col(given))}
+    for c, value in words.items():
+        rows = rows.withColumn(c, F.explode(F.array(value)))
+    w1, w2, wn = map(F.col, words)
     told = lambda known, c: F.when(known, c).otherwise(F.lit("."))
-    has_second = second.isNotNull()
+    has_second = F.col(second).isNotNull()
     second_letter = F.when(w2 == "", "X").otherwise(_letter(w2))
     date = F.coalesce(F.date_format(birth, "yyMMdd"), F.lit("......"))
-    return F.concat(
+    hints = F.concat(
         told(w1 != "", _letter(w1)), told(w1 != "", _inner(w1, "AEIOU")), told(has_second, second_letter), told(wn != "", _letter(wn)), date,
-        F.when(sex.isin("H", "M"), sex).otherwise("."), F.lit(".."),
+        F.when(F.col(sex).isin("H", "M"), F.col(sex)).otherwise("."), F.lit(".."),
         told(w1 != "", _consonant(w1)), told(has_second, _consonant(w2)), told(wn != "", _consonant(wn)), F.lit(".."),
     )
+    return rows.withColumn(name, F.explode(F.array(hints))).drop(*words)
 
 
 def agrees(code: Column, hints: Column) -> Column:
@@ -202,21 +215,35 @@ def agrees(code: Column, hints: Column) -> Column:
     return F.forall(F.sequence(F.lit(1), F.length(hints)), lambda i: (at(hints, i) == ".") | (at(hints, i) == at(code, i)))
 
 
+def _by_place(code: Column, template: str) -> Column:
+    """A string of 18 characters with digits read where digits belong and letters where letters do, a stretch at a time."""
+    tables = {"D": TO_DIGIT, "L": TO_LETTER, "S": TO_LETTER, "A": {}}
+    out, at = [], 0
+    for kind, stretch in groupby(template, lambda k: {"S": "L"}.get(k, k)):
+        n = len([*stretch])
+        t = tables[kind]
+        piece = F.substring(code, at + 1, n)
+        out.append(F.translate(piece, "".join(t), "".join(t.values())) if t else piece)
+        at += n
+    return F.concat(*out)
+
+
 def _with_hints(code: Column, hints: Column, places: tuple[int, ...]) -> Column:
     at = lambda c, i: F.substring(c, i + 1, 1)
     return F.concat(*[F.when(at(hints, i) != ".", at(hints, i)).otherwise(at(code, i)) if i in places else at(code, i) for i in range(18)])
 
 
-def fragments(rows: DataFrame, key: str, text: str, label: str, lengths: tuple[int, int] = (16, 20), most: int = 4) -> DataFrame:
-    """(key, token, near, place): runs of up to four neighbouring parts of a line whose characters together have such a length.
+def fragments(rows: DataFrame, key: str, text: str, label: str = "", carry: Sequence[str] = (), lengths: tuple[int, int] = (16, 20), most: int = 4) -> DataFrame:
+    """(key, carry, token, far, place): runs of up to four neighbouring parts of a line whose characters together have such a length.
 
-    Recognition splits words. Parts are the line's words in capitals without other signs. ``near`` is whether one of the line's
-    first four words is like ``label``; of equal tokens the nearest and first one stays.
+    Recognition splits words. Parts are the line's words in capitals without other signs. ``far`` is whether none of the line's
+    first four words is like ``label``. A token that repeats comes again. Columns to carry are the key's own.
     """
-    lines = rows.select(key, F.posexplode(F.split(F.upper(F.col(text)), r"\R")).alias("_line", "_words"))
-    lines = lines.select(key, "_line", F.filter(F.split("_words", r"\s+"), lambda w: w != "").alias("_words"))
+    held = [key, *carry]
+    lines = rows.select(*held, F.posexplode(F.split(F.upper(F.col(text)), r"\R")).alias("_line", "_words"))
+    lines = lines.select(*held, "_line", F.filter(F.split("_words", r"\s+"), lambda w: w != "").alias("_words"))
     parts = F.filter(F.transform("_words", lambda w: F.regexp_replace(w, "[^A-Z0-9ÑÍ|!$]", "")), lambda w: w != "")
-    lines = lines.select(key, "_line", "_words", parts.alias("_parts")).where("size(_parts) > 0")
+    lines = lines.select(*held, "_line", "_words", parts.alias("_parts")).where("size(_parts) > 0")
     runs = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.size("_parts")),
@@ -226,10 +253,9 @@ def fragments(rows: DataFrame, key: str, text: str, label: str, lengths: tuple[i
         )
     )
     runs = F.filter(runs, lambda r: F.length(r["token"]).between(*lengths))
-    lines = lines.select(key, "_line", "_words", F.explode(runs).alias("_r"))
+    lines = lines.select(*held, "_line", "_words", F.explode(runs).alias("_r"))
     near = any_like(F.slice("_words", 1, 4), label, 0.6) if label else F.lit(False)
-    found = lines.select(key, F.col("_r.token").alias("token"), near.alias("near"), F.struct("_line", "_r.place").alias("place"))
-    return found.groupBy(key, "token").agg(F.min(F.struct((~F.col("near")).alias("far"), "place")).alias("_o")).select(key, "token", "_o.far", "_o.place")
+    return lines.select(*held, F.col("_r.token").alias("token"), (~near).alias("far"), F.struct("_line", "_r.place").alias("place"))
 
 
 def _variants(token: Column, shorter: bool) -> Column:
@@ -253,12 +279,11 @@ def consensus(candidates: DataFrame, key: str, most: int = 8) -> DataFrame:
     A reading's distance counts ``most`` at most; a corrected candidate with a penalty of 2 or more pays 2. Ties go to the
     smaller penalty, then code. Readings and candidates are distinct ones.
     """
-    readings = candidates.select(key, "token").distinct()
-    offers = candidates.select(key, "code", "corrected", "penalty").distinct()
     # A document has as many readings as its text has tokens that look like a code.
-    met = offers.join(readings.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
-    total = met.groupBy(key, "code", "corrected", "penalty").agg(F.sum(F.least(_apart(F.col("code"), F.col("token")), F.lit(most))).alias("_d"))
-    total = total.withColumn("_d", F.col("_d") + F.when((F.col("penalty") >= 2) & F.col("corrected"), 2).otherwise(0))
+    met = candidates.groupBy(key).agg(F.collect_set("token").alias("_read"), F.collect_set(F.struct("penalty", "code", "corrected")).alias("_o"))
+    met = met.select(key, "_read", F.explode("_o").alias("_o")).select(key, "_read", "_o.*")
+    away = F.aggregate("_read", F.lit(0), lambda a, t: a + F.least(_apart(F.col("code"), t), F.lit(most)))
+    total = met.withColumn("_d", away + F.when((F.col("penalty") >= 2) & F.col("corrected"), 2).otherwise(0))
     return total.groupBy(key).agg(F.min(F.struct("_d", "penalty", "code", "corrected")).alias("_b")).select(key, "_b.code", "_b.corrected")
 
 
@@ -269,14 +294,13 @@ def corrected_curps(rows: DataFrame, key: str, text: str, hints: str) -> DataFra
     the reading; weak evidence a code with all hints and its own check digit, at most 4 edits away, unless the reading is
     well formed: then the fault may be anywhere. Null texts have no code; ``key`` tells texts apart.
     """
-    tokens = fragments(rows, key, text, "").select(key, "token").where(F.length("token").between(17, 19))
-    tokens = tokens.join(rows.select(F.col(key).alias("_key"), F.col(hints).alias("_h")), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    tokens = fragments(rows.withColumn("_h", F.col(hints)), key, text, carry=["_h"], lengths=(17, 19))
     v = tokens.select(key, "token", "_h", F.explode(_variants(F.col("token"), True)).alias("_v"))
-    v = v.select(key, "token", "_h", by_template(F.col("_v"), CURP_TEMPLATE).alias("_b"))
+    v = v.select(key, "token", "_h", _by_place(F.col("_v"), CURP_TEMPLATE).alias("_b"))
     v = v.where(F.col("_b").rlike(r"^[A-Z]{4}\d{6}[HM][A-Z]{2}") & F.substring("_b", 12, 2).isin(*STATES))
     old = F.substring("_b", 5, 2).cast("int") > 30
-    digit = by_template(F.substring("_b", 17, 1), "D")
-    v = v.withColumn("_b", F.when(old, F.concat(F.left("_b", F.lit(16)), digit, F.substring("_b", 18, 1))).otherwise(F.col("_b"))).distinct()
+    digit = _by_place(F.substring("_b", 17, 1), "D")
+    v = v.withColumn("_b", F.when(old, F.concat(F.left("_b", F.lit(16)), digit, F.substring("_b", 18, 1))).otherwise(F.col("_b")))
     b, h = F.col("_b"), F.col("_h")
     inner, date = (13, 14, 15), tuple(range(4, 10))
     groups = ((), inner, date, inner + date, (0, 1, 2, 3, *inner), tuple(range(18)))
@@ -295,14 +319,16 @@ def corrected_curps(rows: DataFrame, key: str, text: str, hints: str) -> DataFra
     return consensus(v.select(key, "token", "code", corrected.alias("corrected"), (F.col("_away") + F.when(strong, 0).otherwise(2)).alias("penalty")), key)
 
 
-def expected_key(given: Column, first: Column, second: Column, birth: Column, sex: Column, curp: Column) -> Column:
-    """The first 15 places of an elector key as other fields tell it; null unless all but the second surname are known."""
-    pair = lambda w: F.when(w == "", "XX").otherwise(F.concat(_letter(w), _consonant(w)))
+def with_expected_key(rows: DataFrame, given: str, first: str, second: str, birth: str, sex: str, curp: str, name: str = "expected") -> DataFrame:
+    """Adds the first 15 places of an elector key as other fields tell it; null unless all but the second surname are known."""
+    words = {"_w1": hint_word(F.col(first)), "_w2": hint_word(F.col(second)), "_wn": given_hint_word(F.col(given))}
+    for c, value in words.items():
+        rows = rows.withColumn(c, F.explode(F.array(value)))
+    pair = lambda w: F.when(F.col(w) == "", "XX").otherwise(F.concat(_letter(F.col(w)), _consonant(F.col(w))))
     number = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])[F.substring(curp, 12, 2)]
-    word = lambda c: _first(_hint_words(c))
-    letters = F.concat(pair(word(first)), pair(F.coalesce(word(second), F.lit(""))), pair(_first(_hint_words(_given_word(given)))))
-    known = (given != "") & (first != "") & sex.isin("H", "M")
-    return F.when(known, F.concat(letters, F.date_format(birth, "yyMMdd"), number, sex))
+    known = (F.col(given) != "") & (F.col(first) != "") & F.col(sex).isin("H", "M")
+    key = F.when(known, F.concat(*map(pair, words), F.date_format(birth, "yyMMdd"), number, F.col(sex)))
+    return rows.withColumn(name, F.explode(F.array(key))).drop(*words)
 
 
 def corrected_elector_keys(rows: DataFrame, key: str, text: str, expected: str) -> DataFrame:
@@ -313,12 +339,11 @@ def corrected_elector_keys(rows: DataFrame, key: str, text: str, expected: str)
     and must be within 7 edits and begin with the same four letters, mixed-up ones being one; without, the token itself counts
     where its characters fit by place. Null texts have no key.
     """
-    tokens = fragments(rows, key, text, "ELECTOR").where(F.length("token").between(18, 19))
-    tokens = tokens.join(rows.select(F.col(key).alias("_key"), F.col(expected).alias("_e")), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    tokens = fragments(rows.withColumn("_e", F.col(expected)), key, text, "ELECTOR", ["_e"], (18, 19))
     e, t = F.col("_e"), F.col("token")
     fine = t.rlike(STRICT_KEY) & (e.isNull() | t.startswith(F.left(e, F.lit(6))))
     v = tokens.select(key, "token", "far", "place", "_e", F.posexplode(F.when(fine, F.array(t)).otherwise(_variants(t, False))).alias("_i", "_v"), fine.alias("_fine"))
-    v = v.withColumn("_b", F.explode(F.array(by_template(F.col("_v"), KEY_TEMPLATE)))).where(F.col("_fine") | F.substring("_b", 16, 3).rlike(r"^\d{3}$"))
+    v = v.withColumn("_b", F.explode(F.array(_by_place(F.col("_v"), KEY_TEMPLATE)))).where(F.col("_fine") | F.substring("_b", 16, 3).rlike(r"^\d{3}$"))
     told = F.concat(e, F.substring("_b", 16, 3))
     same_start = confusion_class(F.left(e, F.lit(4))) == confusion_class(F.left("_v", F.lit(4)))
     code = F.when(F.col("_fine"), t).when(e.isNotNull(), F.when(same_start, told)).when(F.col("_b").rlike(STRICT_KEY), F.col("_b"))

@@ -32,7 +32,7 @@ def people(spark: SparkSession, d: str) -> DataFrame:
     birth = F.date_add(F.lit("1940-01-01").cast("date"), (k * 7919 % 21000).cast("int"))
     sex = F.when(k % 2 == 0, "H").otherwise("M")
     c = c.select("c_custkey", "c_name", F.col("n_name").alias("first"), F.col("c_mktsegment").alias("second"), F.col("r_name").alias("given"), birth.alias("birth"), sex.alias("sex"))
-    c = _named(c, hints=R.curp_hints(F.col("given"), F.col("first"), F.col("second"), F.col("birth"), F.col("sex")))
+    c = R.with_hints(c, "given", "first", "second", "birth", "sex")
     state = F.element_at(F.array(*map(F.lit, STATES)), (k % len(STATES) + 1).cast("int"))
     c = _named(c, body=F.concat(F.left("hints", F.lit(11)), state, F.substring("hints", 14, 3), (k % 10).cast("string")))
     return _named(c, curp=F.concat("body", C.curp_check_digit(F.col("body"))))
@@ -100,7 +100,7 @@ CODE_REPAIR_SQL = f"""WITH {PEOPLE_SQL},
 def _card(p: DataFrame) -> DataFrame:
     """A text a person, with a code and an elector key that recognition split, misread, cut short or lengthened."""
     k, curp = F.col("c_custkey"), F.col("curp")
-    p = _named(p, expected=R.expected_key(F.col("given"), F.col("first"), F.col("second"), F.col("birth"), F.col("sex"), curp))
+    p = R.with_expected_key(p, "given", "first", "second", "birth", "sex", "curp")
     key = F.concat("expected", F.lpad((k % 1000).cast("string"), 3, "0"))
     p = _named(p, key=key)
     part = lambda c, i, n: F.substring(c, i, n)
