@@ -28,11 +28,18 @@ def strict_dmy(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{2}/\d{2}/\d{4}$"), parse_date(c))
 
 
+# Fixed value: a date in words, as certificates write it; one spelling of a month beside those above.
+LONG_DATE = r"(?i)(?<![\p{L}\p{N}_])a\s+(\d{1,2})\s+de\s+([A-Za-zÁÉÍÓÚáéíóú]+)\s+(?:de|del)\s+(\d{4})"
+OTHER_SPELLING = {"setiembre": "septiembre"}
+
+
 def spanish_long_date(c: Column) -> Column:
-    """'a 12 de mayo de 2022' anywhere in the text."""
-    p = r"(?i)(\d{1,2})\s+de\s+(" + "|".join(MONTHS) + r")\s+(?:de|del)\s+(\d{4})"
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(c, p, 2))).cast("string")
-    return F.when(c.rlike(p), _date(F.regexp_extract(c, p, 3), month, F.regexp_extract(c, p, 1)))
+    """The first 'a 12 de mayo de 2022' of the text; null where its month is none."""
+    month = F.translate(F.lower(F.regexp_extract(c, LONG_DATE, 2)), "íé", "ie")
+    for other, usual in OTHER_SPELLING.items():
+        month = F.when(month == other, usual).otherwise(month)
+    number = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month), F.lit(0)).cast("string")
+    return F.when(c.rlike(LONG_DATE) & number.isNotNull(), _date(F.regexp_extract(c, LONG_DATE, 3), number, F.regexp_extract(c, LONG_DATE, 1)))
 
 
 def add_years(c: Column, years: int) -> Column:

@@ -39,17 +39,26 @@ def code(c: Column) -> Column:
     return F.upper(F.trim(c))
 
 
+def _composable() -> dict[str, str]:
+    """Letters of all alphabets up to U+1FFF that have a decomposed spelling, longest spelling first."""
+    whole = [chr(c) for c in range(0xC0, 0x2000) if unicodedata.normalize("NFC", chr(c)) == chr(c)]
+    pieces = {unicodedata.normalize("NFD", w): w for w in whole if unicodedata.normalize("NFD", w) != w}
+    return dict(sorted(pieces.items(), key=lambda x: (-len(x[0]), x[0])))
+
+
+COMPOSABLE = _composable()
+
+
 def composed(c: Column) -> Column:
-    """Letters of ACCENTED, Ñ and ñ that are written with a combining mark as one character; other marks stay."""
-    whole = ACCENTED + "Ññ"
-    parts, wholes = (F.split(F.lit("|".join(x)), r"\|") for x in ([unicodedata.normalize("NFD", w) for w in whole], whole))
-    pieced = F.aggregate(F.sequence(F.lit(1), F.lit(len(whole))), c, lambda t, i: F.replace(t, F.element_at(parts, i), F.element_at(wholes, i)))
+    """Letters that are written with combining marks as one character; other marks stay."""
+    parts, wholes = (F.split(F.lit("|".join(x)), r"\|") for x in (COMPOSABLE, COMPOSABLE.values()))
+    pieced = F.aggregate(F.sequence(F.lit(1), F.lit(len(COMPOSABLE))), c, lambda t, i: F.replace(t, F.element_at(parts, i), F.element_at(wholes, i)))
     return F.when(c.rlike(r"\p{M}"), pieced).otherwise(c)
 
 
 def plain_text(c: Column) -> Column:
-    """Composed, without regard to case (ß is ss) and runs of white space."""
-    return F.replace(F.lower(collapse(composed(c))), F.lit("ß"), F.lit("ss"))
+    """Composed, without regard to case (ß is ss, final sigma a sigma) and runs of white space."""
+    return F.translate(F.replace(F.lower(collapse(composed(c))), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def address(c: Column) -> Column:

@@ -36,14 +36,17 @@ def flattened(rows: DataFrame, key: str, pages: str) -> DataFrame:
 def answer(status: Column, body: Column) -> Column:
     """A service's answer as (status, code, retryable, doc_type, fields, total_ms).
 
-    An error by status or by an ``error`` without fields carries its code, HTTP_n without one; a body that is no object is
-    RESPUESTA_INVALIDA, worth another try from 500 on.
+    An error by status or by an ``error`` without fields carries its code, of its ``detail`` if that is an object, HTTP_n without
+    one; a body that is no JSON object is RESPUESTA_INVALIDA, worth another try from 500 on.
     """
-    schema = "error string, codigo string, tipo_documento string, datos map<string,string>, metadatos struct<tiempo_procesamiento_ms: double>"
-    is_object = F.coalesce(body.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False))
+    detail = "struct<codigo: string, code: string>"
+    schema = f"error string, codigo string, code string, detail {detail}, tipo_documento string, datos map<string,string>, metadatos struct<tiempo_procesamiento_ms: double>"
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
     b = F.from_json(body, schema)
+    told = lambda at: F.coalesce(F.nullif(at["codigo"], F.lit("")), F.nullif(at["code"], F.lit("")))
     failed = (status >= 400) | (b["error"].isNotNull() & b["datos"].isNull())
-    code = F.when(~is_object, "RESPUESTA_INVALIDA").when(failed, F.coalesce(b["codigo"], F.concat(F.lit("HTTP_"), status.cast("string"))))
+    given = F.when(b["detail"].isNotNull(), told(b["detail"])).otherwise(told(b))
+    code = F.when(~is_object, "RESPUESTA_INVALIDA").when(failed, F.coalesce(given, F.concat(F.lit("HTTP_"), status.cast("string"))))
     ok = code.isNull()
     return F.struct(
         F.when(ok, "ok").otherwise("error").alias("status"),

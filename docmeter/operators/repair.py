@@ -513,11 +513,13 @@ def zone_changes(rows: DataFrame, key: str, text: str, fields: str, derived: boo
     both = F.array_distinct(F.concat("_strict", "_lax"))
     several = F.get(F.filter(F.transform(both, _multiple), zone_valid), F.lit(0))
     number = F.regexp_replace(F.upper(F.coalesce(m["number"], F.lit(""))), "[^A-Z0-9]", "")
-    birth, expiry = parse_date(m["birth"]), parse_date(m["expiry"])
-    plain = F.concat(number, mrz_check_digit(number), F.lit("MEX"), *_dated(birth), F.upper(F.trim(m["sex"])), *_dated(expiry), F.lit("<" * 14 + "0"))
-    built = F.when(F.length(plain) == 43, F.concat(plain, mrz_check_digit(F.concat(F.left(plain, F.lit(10)), F.substring(plain, 14, 7), F.substring(plain, 22, 22)))))
-    built = F.when((F.length(number) == 9) & F.upper(F.trim(m["sex"])).isin("M", "F"), built)
-    r = fixed(r, _several=F.when(~F.col("_ok2"), several), _built=built)
+    day = lambda f: F.date_format(parse_date(m[f]), "yyMMdd")
+    r = fixed(r, _several=F.when(~F.col("_ok2"), several), _number=number, _birth=day("birth"), _expiry=day("expiry"), _sex=F.upper(F.trim(m["sex"])))
+    digit = lambda c: mrz_check_digit(F.col(c))
+    plain = F.concat("_number", digit("_number"), F.lit("MEX"), "_birth", digit("_birth"), "_sex", "_expiry", digit("_expiry"), F.lit("<" * 14 + "0"))
+    r = fixed(r, _plain=F.when((F.length("_number") == 9) & F.col("_sex").isin("M", "F"), plain))
+    whole = F.concat(F.left("_plain", F.lit(10)), F.substring("_plain", 14, 7), F.substring("_plain", 22, 22))
+    r = fixed(r, _built=F.concat("_plain", mrz_check_digit(whole)))
     same = lambda w: F.size(F.filter(F.sequence(F.lit(1), F.lit(28)), lambda i: F.substr(w, i, F.lit(1)) == F.substr("_built", i, F.lit(1))))
     r = fixed(r, _agreed=F.when(zone_valid(F.col("_built")) & F.exists(both, lambda w: same(w) >= 14), F.col("_built")))
 
@@ -550,8 +552,3 @@ def zone_changes(rows: DataFrame, key: str, text: str, fields: str, derived: boo
     )
     log = r.select(key, F.explode(F.array_compact(F.array(first, second))).alias("_c")).select(key, "_c.*")
     return log.where(~F.col("before").eqNullSafe(F.col("after")))
-
-
-def _dated(day: Column) -> tuple[Column, Column]:
-    digits = F.date_format(day, "yyMMdd")
-    return digits, mrz_check_digit(digits)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docmeter.sources.scratch import written
+
 
 def only_one(rows: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
     """``flag`` is true for the last row of each key by ``order`` (nulls first, so never last but alone) and false for its siblings."""
@@ -27,8 +29,12 @@ def retained(rows: DataFrame, ts: str, kind: str, days: Mapping[str, int], other
 
 
 def drain(rows: DataFrame, key: str, name: str = "place") -> DataFrame:
-    """Rows numbered by ``key``: range partitions are numbered each and their counts summed up, so no task holds all rows."""
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    """Rows numbered by ``key``: range partitions are numbered each and their counts summed up, so no task holds all rows.
+
+    The partitioned rows are written once, as counting and numbering them must see the same partitions: computed twice, they
+    could be cut at other places or merged by their size.
+    """
+    ranged = written(rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "drain")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
     placed = ranged.withColumn("_pos", F.row_number().over(W.partitionBy("_part").orderBy(key)))

@@ -25,13 +25,13 @@ def _named(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def people(spark: SparkSession, d: str) -> DataFrame:
-    """A person a customer: nation and segment are the surnames, the region is the given name, all else comes from the key."""
+    """A person a customer: nation (its number in letters) and segment are the surnames, the region is the given name, all else comes from the key."""
     c = table(spark, d, "customer").join(table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
     c = c.join(table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
     k = F.col("c_custkey")
     birth = F.date_add(F.lit("1940-01-01").cast("date"), (k * 7919 % 21000).cast("int"))
     sex = F.when(k % 2 == 0, "H").otherwise("M")
-    c = c.select("c_custkey", "c_name", F.col("n_name").alias("first"), F.col("c_mktsegment").alias("second"), F.col("r_name").alias("given"), birth.alias("birth"), sex.alias("sex"))
+    c = c.select("c_custkey", "c_name", F.translate("n_name", "0123456789_", "ABCDEFGHIJ").alias("first"), F.col("c_mktsegment").alias("second"), F.col("r_name").alias("given"), birth.alias("birth"), sex.alias("sex"))
     c = R.with_hints(c, "given", "first", "second", "birth", "sex")
     state = F.element_at(F.array(*map(F.lit, STATES)), (k % len(STATES) + 1).cast("int"))
     c = _named(c, body=F.concat(F.left("hints", F.lit(11)), state, F.substring("hints", 14, 3), (k % 10).cast("string")))
@@ -41,7 +41,7 @@ def people(spark: SparkSession, d: str) -> DataFrame:
 _W = lambda w: f"regexp_extract({w}, '^[A-Z]+')"
 _IN = lambda w, letters: f"coalesce(nullif(regexp_extract(substr({_W(w)}, 2), '[{letters}]'), ''), 'X')"
 _CONS = "B-DF-HJ-NP-TV-Z"
-PEOPLE_SQL = f"""person AS (SELECT c_custkey, c_name, n_name AS first, c_mktsegment AS second, r_name AS given, (DATE '1940-01-01' + (c_custkey * 7919 % 21000)::INT)::DATE AS birth,
+PEOPLE_SQL = f"""person AS (SELECT c_custkey, c_name, translate(n_name, '0123456789_', 'ABCDEFGHIJ') AS first, c_mktsegment AS second, r_name AS given, (DATE '1940-01-01' + (c_custkey * 7919 % 21000)::INT)::DATE AS birth,
     CASE WHEN c_custkey % 2 = 0 THEN 'H' ELSE 'M' END AS sex, {STATES}[c_custkey % {len(STATES)} + 1] AS state, {[*R.STATES.values()]}[c_custkey % {len(STATES)} + 1] AS state_no
     FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
   hinted AS (SELECT *, left({_W("first")}, 1) || {_IN("first", "AEIOU")} || left({_W("second")}, 1) || left({_W("given")}, 1) || strftime(birth, '%y%m%d') || sex AS head,
@@ -198,4 +198,128 @@ CODE_CORRECTIONS_SQL = f"""WITH {PEOPLE_SQL},
   FROM people LEFT JOIN curps USING (c_custkey) LEFT JOIN keys ON keys.c_custkey = people.c_custkey"""
 
 
-QUERIES = {code_repair: CODE_REPAIR_SQL, code_corrections: CODE_CORRECTIONS_SQL}
+
+# Passport lines.
+
+
+def zone_repair(spark: SparkSession, d: str) -> DataFrame:
+    """What the rules change in the lines of each person's passport, read whole, with one edit, with several confusions or in part."""
+    k = F.col("c_custkey")
+    p = people(spark, d).withColumns({"number": F.concat(F.lit("G"), F.lpad(k.cast("string"), 8, "0")), "sex": F.when(F.col("sex") == "H", "M").otherwise("F")})
+    p = p.withColumn("expiry", F.date_add(F.lit("2026-01-01").cast("date"), (k % 3000).cast("int")))
+    dated = lambda c: (F.date_format(c, "yyMMdd"), C.mrz_check_digit(F.date_format(c, "yyMMdd")))
+    p = _named(p, front=F.concat("number", C.mrz_check_digit(F.col("number")), F.lit("MEX"), *dated("birth"), "sex", *dated("expiry"), F.lit("<" * 14 + "0")))
+    front = F.col("front")
+    p = _named(p, line2=F.concat(front, C.mrz_check_digit(F.concat(F.left(front, F.lit(10)), F.substring(front, 14, 7), F.substring(front, 22, 22)))))
+    p = _named(p, line1=F.rpad(F.concat(F.lit("P<MEX"), R.zone_names(F.col("first"), F.col("second"), F.col("given"))), 44, "<"))
+    line, at = F.col("line2"), (k * 7 % 44 + 1).cast("int")
+    cut = lambda a, n: F.substr(line, a, n)
+    head, tail = cut(F.lit(1), at - 1), cut(at + 1, F.lit(44))
+    seen2 = (
+        F.when(k % 8 == 1, F.concat(head, F.translate(cut(at, F.lit(1)), "0123456789GMEXF<", "OIZ3A5687Q6NFKPL"), tail))
+        .when(k % 8 == 2, F.concat(head, tail))
+        .when(k % 8 == 3, F.concat(head, F.lit("7"), cut(at, F.lit(44))))
+        .when(k % 8 == 4, F.concat(cut(F.lit(1), F.lit(13)), F.translate(cut(F.lit(14), F.lit(6)), "015", "OIS"), cut(F.lit(20), F.lit(1)), cut(F.lit(21), F.lit(24))))
+        .when(k % 8 == 5, F.concat(F.lit("ZZZ"), cut(F.lit(4), F.lit(29)), F.lit(" ##")))
+        .when(k % 8 > 5, F.lit("none"))
+        .otherwise(F.concat(cut(F.lit(1), F.lit(20)), F.lit(" "), F.replace(cut(F.lit(21), F.lit(24)), F.lit("<"), F.lit("«"))))
+    )
+    first_line = F.when(k % 4 == 0, F.col("line1")).when(k % 4 == 1, F.translate("line1", "S", "5")).otherwise("Pasaporte")
+    now = F.create_map(
+        F.lit("line2"), F.when(k % 8 == 6, F.concat(cut(F.lit(1), F.lit(28)), F.lit(" "), cut(F.lit(29), F.lit(16)))).when(k % 8 == 7, line),
+        F.lit("line1"), F.when(k % 4 == 2, F.lower("line1")), F.lit("number"), F.col("number"), F.lit("birth"), F.date_format("birth", "dd/MM/yyyy"),
+        F.lit("expiry"), F.date_format("expiry", "dd/MM/yyyy"), F.lit("sex"), F.col("sex"), F.lit("given"), F.col("given"), F.lit("first"), F.col("first"), F.lit("second"), F.col("second"),
+    )
+    rows = p.select("c_custkey", F.concat_ws("\n", F.lit("PASSPORT"), first_line, seen2).alias("text"), now.alias("fields"))
+    return R.zone_changes(_named(rows, text=F.col("text")), "c_custkey", "text", "fields")
+
+
+_ZONE = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_DV = lambda s: f"(list_sum([greatest(instr('{_ZONE}', substr({s}, i, 1)) - 1, 0) * [7, 3, 1][(i - 1) % 3 + 1] FOR i IN range(1, length({s}) + 1)]) % 10)::BIGINT::VARCHAR"
+_WHOLE = lambda s: f"(left({s}, 10) || substr({s}, 14, 7) || substr({s}, 22, 22))"
+
+
+def _valid_sql(s: str) -> str:
+    parts = ((1, 9, 10), (14, 6, 20), (22, 6, 28), (29, 14, 43))
+    checks = [f"{_DV(f'substr({s}, {a}, {n})')} = substr({s}, {at}, 1)" for a, n, at in parts] + [f"{_DV(_WHOLE(s))} = substr({s}, 44, 1)"]
+    return f"(regexp_matches({s}, '^[A-Z0-9<]{{44}}$') AND " + " AND ".join(checks) + ")"
+
+
+_NAME_SQL = lambda c: f"replace(trim({c}), ' ', '<')"
+_D15 = lambda c: f"translate({c}, '{DIGITS_OF[0]}', '{DIGITS_OF[1]}')"
+ZONE_REPAIR_SQL = f"""WITH {PEOPLE_SQL},
+  pass AS (SELECT c_custkey AS k, 'G' || lpad(c_custkey::VARCHAR, 8, '0') AS number, strftime(birth, '%y%m%d') AS b, CASE sex WHEN 'H' THEN 'M' ELSE 'F' END AS sex,
+    strftime((DATE '2026-01-01' + (c_custkey % 3000)::INT)::DATE, '%y%m%d') AS e, rpad('P<MEX' || {_NAME_SQL("first")} || '<' || {_NAME_SQL("second")} || '<<' || {_NAME_SQL("given")}, 44, '<') AS line1, first, second, given FROM people),
+  front AS (SELECT *, number || {_DV("number")} || 'MEX' || b || {_DV("b")} || sex || e || {_DV("e")} || '<<<<<<<<<<<<<<0' AS front FROM pass),
+  line AS (SELECT *, front || {_DV(_WHOLE("front"))} AS line2, (k * 7 % 44 + 1)::INT AS pl FROM front),
+  seen AS (SELECT *, CASE WHEN k % 8 = 0 THEN line2 WHEN k % 8 = 1 THEN left(line2, pl - 1) || translate(substr(line2, pl, 1), '0123456789GMEXF<', 'OIZ3A5687Q6NFKPL') || substr(line2, pl + 1)
+      WHEN k % 8 = 2 THEN left(line2, pl - 1) || substr(line2, pl + 1) WHEN k % 8 = 3 THEN left(line2, pl - 1) || '7' || substr(line2, pl)
+      WHEN k % 8 = 4 THEN left(line2, 13) || translate(substr(line2, 14, 6), '015', 'OIS') || substr(line2, 20) WHEN k % 8 = 5 THEN 'ZZZ' || substr(line2, 4, 29) || '##' ELSE 'NONE' END AS s2,
+    CASE k % 4 WHEN 0 THEN line1 WHEN 1 THEN translate(line1, 'S', '5') ELSE 'PASAPORTE' END AS s1,
+    CASE k % 8 WHEN 6 THEN left(line2, 28) || ' ' || substr(line2, 29) WHEN 7 THEN line2 END AS now2, CASE WHEN k % 4 = 2 THEN lower(line1) END AS now1, rtrim(line1, '<') AS told FROM line),
+  win AS (SELECT *, CASE WHEN regexp_matches(s2, '{R.LINE2_HEAD}') THEN substr(s2, instr(s2, regexp_extract(s2, '{R.LINE2_HEAD}')), 44) END AS strict,
+    CASE WHEN regexp_matches(s2, '{R.LINE2_LAX}') THEN substr(s2, instr(s2, regexp_extract(s2, '{R.LINE2_LAX}')), 44) END AS lax, replace(now2, ' ', '') AS n2 FROM seen),
+  judged AS (SELECT *, coalesce({_valid_sql("n2")}, false) AS ok2, coalesce({_valid_sql("strict")}, false) AS whole FROM win),
+  hurt AS (SELECT k, strict AS w FROM judged WHERE NOT ok2 AND NOT whole AND strict IS NOT NULL),
+  sign(c) AS (SELECT substr('{_ZONE}<', i, 1) FROM range(1, 38) r(i)),
+  edit AS (SELECT DISTINCT k, w, i, left(w, i - 1) || c || substr(w, i + 1) AS x, c FROM hurt, range(1, 45) r(i), sign WHERE length(w) = 44 AND c <> substr(w, i, 1)
+    UNION ALL SELECT DISTINCT k, w, 0, left(w, i - 1) || c || substr(w, i), '' FROM hurt, range(1, 45) r(i), sign WHERE length(w) = 43),
+  fits AS (SELECT *, (i = 0 OR CASE WHEN i IN (10, 14, 15, 16, 17, 18, 19, 20, 22, 23, 24, 25, 26, 27, 28) THEN regexp_matches(c, '[0-9]') AND NOT regexp_matches(substr(w, i, 1), '[0-9]')
+      WHEN i BETWEEN 29 AND 42 THEN c = '<' WHEN i IN (11, 12, 13) THEN regexp_matches(c, '[A-Z]') AND NOT regexp_matches(substr(w, i, 1), '[A-Z]')
+      WHEN i = 21 THEN c IN ('M', 'F', '<') AND substr(w, i, 1) NOT IN ('M', 'F', '<') ELSE false END) AS better FROM (SELECT DISTINCT k, w, i, x, c FROM edit) WHERE {_valid_sql("x")}),
+  one AS (SELECT k, CASE WHEN count(DISTINCT x) = 1 THEN min(x) WHEN count(*) FILTER (better AND i > 0) = 1 THEN min(x) FILTER (better) END AS x FROM fits GROUP BY k),
+  multi AS (SELECT k, f || {_DV(_WHOLE("f"))} AS m FROM (SELECT k, left(v, 9) || {_D15("substr(v, 10, 1)")} || 'MEX' || {_D15("substr(v, 14, 7)")} || substr(v, 21, 1) || {_D15("substr(v, 22, 7)")} || '<<<<<<<<<<<<<<0' AS f
+    FROM (SELECT k, rpad(coalesce(strict, lax), 44, '<') AS v FROM judged WHERE NOT ok2 AND length(coalesce(strict, lax)) >= 30))),
+  al AS (SELECT *, list_sum([(substr(coalesce(strict, lax), i, 1) = substr(line2, i, 1))::INT FOR i IN range(1, 29)]) >= 14 AS agreed FROM judged),
+  two AS (SELECT k, now2 AS before, CASE WHEN ok2 THEN n2 WHEN whole THEN strict WHEN x IS NOT NULL THEN x WHEN {_valid_sql("m")} THEN m WHEN agreed THEN line2 END AS after,
+      CASE WHEN ok2 OR whole OR x IS NOT NULL THEN 'line2_literal' WHEN {_valid_sql("m")} THEN 'line2_repaired' WHEN agreed THEN 'line2_from_fields' END AS rule FROM al LEFT JOIN one USING (k) LEFT JOIN multi USING (k)),
+  wins AS (SELECT *, upper(now1) AS n1, least(length(s1), length(told)) AS n FROM seen),
+  ones AS (SELECT k, now1 AS before, CASE WHEN n1 IS NOT NULL THEN n1 WHEN s1 = line1 OR (starts_with(s1, 'P<MEX') AND levenshtein(left(s1, n), left(told, n)) <= greatest(2, n // 8)) THEN line1 END AS after,
+    CASE WHEN n1 IS NOT NULL OR s1 = line1 THEN 'line1_literal' ELSE 'line1_from_fields' END AS rule FROM wins)
+  SELECT k AS c_custkey, 'line2' AS field, before, after, rule, rule <> 'line2_literal' AS derived FROM two WHERE after IS NOT NULL AND after IS DISTINCT FROM before
+  UNION ALL SELECT k, 'line1', before, after, rule, rule <> 'line1_literal' FROM ones WHERE after IS NOT NULL AND after IS DISTINCT FROM before"""
+
+
+# Labels and values.
+
+LABELS = ["CUSTOMER", "SEGMENT", "NATION", "REGION", "BALANCE"]
+
+
+def label_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of a form a customer: beside the label, a line or two below it, behind an empty line, or cut off by the next label."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
+    c = c.join(table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    k = F.col("c_custkey")
+    lines = F.array(
+        F.concat(F.when(k % 3 == 0, "Customer - ").otherwise("CUSTOMER: "), "c_name"), F.lit("Segment"), F.when(k % 4 == 1, "").when(k % 4 == 2, "Region").otherwise(F.col("c_mktsegment")), F.col("c_mktsegment"),
+        F.when(k % 5 > 0, "Nation or state :").otherwise("Natl."), F.col("r_name"),
+    )
+    c = c.select("c_custkey", F.explode(F.array(lines)).alias("lines"))
+    known = lambda x: F.upper(x).rlike("^(?:" + "|".join(LABELS) + ")")
+    found = {"name": (["CUSTOMER"], 1), "segment": (["MARKET", "SEGMENT"], 2), "nation": (["NATION(?: OR STATE)?"], 1)}
+    return c.select("c_custkey", *[F.array_join(L.label_values(F.col("lines"), p, known, n), "|").alias(name) for name, (p, n) in found.items()])
+
+
+LABEL_VALUES_SQL = """SELECT c_custkey, c_name AS name, CASE c_custkey % 4 WHEN 1 THEN c_mktsegment WHEN 2 THEN '' ELSE c_mktsegment || '|' || c_mktsegment END AS segment,
+  CASE WHEN c_custkey % 5 > 0 THEN r_name ELSE '' END AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"""
+
+
+def label_likeness(spark: SparkSession, d: str) -> DataFrame:
+    """Brands, types and names of parts against labels: the likest label of each part, at least half alike."""
+    p = table(spark, d, "part")
+    labels = ["STANDARD POLISHED", "SMALL BRUSHED STEEL", "PROMO", "ECONOMY ANODIZED"]
+    read = F.translate(F.upper("p_type"), "EO", "FQ")
+    each = F.explode(F.array(*map(F.lit, labels))).alias("label")
+    rows = p.select("p_partkey", read.alias("seen"), each)
+    rows = rows.withColumn("ratio", L.likeness(F.col("seen"), F.col("label"), 0.5))
+    best = rows.groupBy("p_partkey").agg(F.max(F.struct("ratio", "label")).alias("b"))
+    return best.where("b.ratio > 0").select("p_partkey", F.col("b.label").alias("label"), F.round("b.ratio", 4).alias("ratio"))
+
+
+QUERIES = {
+    code_repair: CODE_REPAIR_SQL,
+    code_corrections: CODE_CORRECTIONS_SQL,
+    zone_repair: ZONE_REPAIR_SQL,
+    label_values: LABEL_VALUES_SQL,
+    label_likeness: None,
+}

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +10,14 @@ from docmeter.functions import dates as D
 from docmeter.functions import geometry
 from docmeter.functions import text as T
 from docmeter.operators import layout, rules
+from docmeter.sources.scratch import scratch_path
 from docmeter.sources.tables import read_table as table
 from docmeter.streaming import counters
 
 
 def hourly_stream(spark: SparkSession, d: str) -> DataFrame:
     """The hourly counter as a stream over the events; equals the batch count."""
-    base = f"{_scratch(spark)}/docmeter/hourly-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "hourly")
     source = f"{d}/events.parquet"
     stream = counters.file_stream(spark, source, spark.read.parquet(source).schema)
     counters.run_to_table(counters.hourly(stream, "ts", [F.col("event_type")], None), f"{base}/out", f"{base}/checkpoint")
@@ -28,19 +25,6 @@ def hourly_stream(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local master may do without one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return found.rstrip("/") if found else _local_dir()
-
-
-@cache
-def _local_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-docmeter-")
-
-
 def value_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Fields of each document that its text bears out: its first word does, a made-up one doesn't."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -64,6 +48,45 @@ def fuzzy_classify(spark: SparkSession, d: str) -> DataFrame:
     return t.select("item_id", rules.tolerant_hits(F.col("text"), ["CREDENCIAL PARA VOTAR", "REGISTRO CIVIL"]).alias("hits"))
 
 
+#: Titles by kind: clean, read with some faults, read with too many.
+TITLES = (
+    ("CREDENCIAL PARA VOTAR, CLAVE DE ELECTOR", "CREDENC1AL PARAVOTAR - CLAVE DE ELECT0R", "CR3DENC1AL P4R4 V0T4R CL4V3"),
+    ("Acta de nacimiento, registro civil", "ACTA DE NAC1MIENTO / REG1STRO CIVIL", "ACT NACMNTO RGSTRO"),
+    ("PASAPORTE date of birth", "PASAP0RTE DATE OFBIRTH", "PASPRT DTE"),
+    ("Clave unica de registro de poblacion RENAPO", "CLAVE UN1CA DE REG1STRO DE P0BLACION RENAPO", "CLVE UNCA RGSTRO"),
+    ("VIGENCIA EMISION LOCALIDAD", "CREDENCIAL PARA VOTAR, ACTA DE NACIMIENTO, REGISTRO CIVIL", "P<<MEX LOPEZ <<<<<<<<"),
+)
+
+
+def tolerant_types(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a title of some kind, clean or noisy, in the middle of their text."""
+    k = F.col("doc_id")
+    title = F.element_at(F.array(*[F.lit(x) for t in TITLES for x in t]), (k % 15 + 1).cast("int"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.concat_ws(" ", F.left("text", half), title, F.substr("text", half + 1))
+    return rules.tolerant_type(table(spark, d, "documents").select("doc_id", text.alias("text")), "text").select("doc_id", "doc_type")
+
+
+#: Kind, letters, points and the pieces of which a run of so few edits holds one whole: a cheap test before the edits are counted.
+_SIGNALS = [(kind, phrase.replace(" ", ""), points, [piece for _, piece in rules.Sought.of(phrase).pieces]) for kind, phrases in rules.TYPE_PHRASES for phrase, points in phrases]
+TOLERANT_SQL = f"""WITH t AS (SELECT doc_id, string_split_regex(trim(regexp_replace(upper(strip_accents(concat_ws(' ', left(text, length(text) // 2), {[x for t in TITLES for x in t]}[doc_id % 15 + 1], substr(text, length(text) // 2 + 1)))), '[^A-Z0-9<]+', ' ', 'g')), ' ') AS w
+    FROM documents),
+  word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+  placed AS (SELECT doc_id, length(x) AS n, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, x FROM word WHERE x <> ''),
+  ahead AS (SELECT doc_id, upto - n AS start, string_agg(x, '') OVER w AS ahead, list(upto) OVER w AS ends FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN CURRENT ROW AND 38 FOLLOWING)),
+  span AS (SELECT DISTINCT doc_id, left(ahead, n) AS s FROM (SELECT doc_id, ahead, (unnest(ends) - start)::INT AS n FROM ahead) WHERE n BETWEEN 5 AND 38),
+  kinds AS (SELECT DISTINCT s FROM span),
+  sig(kind, p, points, pieces) AS (VALUES {", ".join(f"('{a}', '{b}', {c}, {e})" for a, b, c, e in _SIGNALS)}),
+  like_ AS (SELECT s, kind, p, points FROM kinds JOIN sig 
+    ON CASE WHEN abs(length(s) - length(p)) <= length(p) * 16 // 100 AND len([x FOR x IN pieces IF contains(s, x)]) > 0 THEN levenshtein(s, p) <= length(p) * 16 // 100 ELSE false END),
+  whole AS (SELECT doc_id, array_to_string(w, '') AS c FROM t),
+  found AS (SELECT DISTINCT doc_id, kind, p, points FROM span JOIN like_ USING (s)
+    UNION ALL SELECT doc_id, kind, rx, points FROM whole, (VALUES {", ".join(f"('{a}', '{b}', {c})" for a, b, c in rules.TYPE_STRUCTURES)}) v(kind, rx, points) WHERE regexp_matches(c, rx)),
+  score AS (SELECT doc_id, kind, sum(points) AS points, max(points) AS most FROM found GROUP BY ALL),
+  best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC) AS r, coalesce(lead(points) OVER (PARTITION BY doc_id ORDER BY points DESC), 0) AS next FROM score)
+  SELECT doc_id, CASE WHEN points >= 3 AND points - next >= 2 AND most >= 2 THEN kind END AS doc_type FROM documents LEFT JOIN (FROM best WHERE r = 1) USING (doc_id)"""
+
+
 def row_cluster(spark: SparkSession, d: str) -> DataFrame:
     """All words of pages placed on a grid come back as their rows."""
     words = F.posexplode(F.split(T.collapse(F.regexp_replace("html", "<[^>]+>", " ")), " ")).alias("i", "text")
@@ -136,6 +159,7 @@ QUERIES = {
     value_grounding: "SELECT doc_id, 'made_up' AS removed, 2::BIGINT AS kept FROM documents",
     type_classifier: "SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'INE' WHEN 1 THEN 'ACTA' WHEN 2 THEN 'PASAPORTE' WHEN 3 THEN 'CURP' END AS doc_type FROM benchmark",
     fuzzy_classify: "SELECT item_id, (item_id % 2 = 0)::INT AS hits FROM benchmark",
+    tolerant_types: TOLERANT_SQL,
     row_cluster: None,
     reconcile_changes: None,
     business_rules: """SELECT o_orderkey, (o_orderdate::DATE + 90)::DATE AS expires, CASE WHEN date_diff('day', o_orderdate::DATE, DATE '1998-06-01') > 90 THEN 'older than allowed'
