@@ -1,11 +1,17 @@
-"""Approximate nearest neighbours for the largest inner product.
+"""Nearest neighbours for the largest inner product, from cells and codes.
 
-Vectors are dealt into cells (k-means on a bounded sample) and coded by a product quantiser
-whose loss is score-aware: the part of the residual parallel to the vector, which shifts
-large inner products, costs ``eta`` times the orthogonal part. Codes have four bits. A
-query looks into the cells with the largest inner products to their centres, scans their
-codes by a table of 16 entries a subspace, and the best of each block are reranked by the
-exact inner product in double precision.
+Vectors are dealt into cells (k-means on a bounded sample); what they differ by from their
+cell's centre is coded by a product quantiser whose loss is score-aware: the part of the
+error parallel to the vector, which shifts large inner products, costs ``eta`` times the
+orthogonal part. Codes have four bits. A query looks into the cells with the largest inner
+products to their centres, scans their codes by a table of 16 entries a subspace, and the
+best of each block are reranked by the exact inner product in double precision.
+
+Neither cells nor codes are trusted further than their error reaches. A cell keeps the
+distance of its farthest vector, a vector that between it and what its code says; times the
+query's length these bound the inner product from above. The k-th best of the sample is a
+bound from below. Cells and codes between the two are looked into and reranked as well, so
+nothing is missed, whatever the rows are like; codes that say little cost time only.
 
 A cell is cut into blocks of bounded size, and so are the queries that look into it, so
 that a cell or a single vector with a third of all rows is spread over many tasks.
@@ -31,11 +37,11 @@ class Settings:
 
     sample: int = 8_192
     cells: int = 64
-    #: Share of the cells that a query looks into.
+    #: Share of the cells that a query looks into at least; bounds add those that may hold nearer vectors.
     probe: float = 0.72
     #: Components a subspace; four bits each.
     sub: int = 2
-    #: Candidates of a block that are reranked, as a multiple of k.
+    #: Candidates of a block that are reranked at least, as a multiple of k; bounds add those that may be nearer.
     rerank: int = 4
     #: Inner products over this share of the product of norms are what the loss protects.
     threshold: float = 0.2
@@ -47,10 +53,14 @@ class Settings:
 
 @dataclass
 class Model:
+    """All but ``ids`` and ``scale`` is of vectors divided by ``scale``, so that squares neither overflow nor vanish."""
+
     centres: np.ndarray  # cells x d
     books: np.ndarray  # subspaces x 16 x sub
     eta: float
-    d: int
+    scale: float
+    sample: np.ndarray
+    ids: np.ndarray
 
 
 def usable(vectors: DataFrame, key: str, vec: str) -> DataFrame:
@@ -74,15 +84,20 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(1)[None, :] - 2 * x @ centres.T, axis=1)
 
 
-def encode(books: np.ndarray, x: np.ndarray, eta: float, sweeps: int = 2, rows: int = 1024) -> np.ndarray:
-    """Codes by coordinate descent on |r|^2 + (eta - 1) <r, x/|x|>^2, r being the residual; so many rows at a time."""
-    return np.concatenate([_encode(books, x[i : i + rows], eta, sweeps) for i in range(0, len(x), rows)])
+def _unit(x: np.ndarray) -> np.ndarray:
+    """The rows' directions."""
+    x = x / np.maximum(np.abs(x).max(1), np.finfo(float).tiny)[:, None]
+    return x / np.maximum(np.linalg.norm(x, axis=1), np.finfo(float).tiny)[:, None]
+
 
+def encode(books: np.ndarray, x: np.ndarray, unit: np.ndarray, eta: float, sweeps: int = 2, rows: int = 1024) -> np.ndarray:
+    """Codes by coordinate descent on |r|^2 + (eta - 1) <r, unit>^2, r being the residual; so many rows at a time."""
+    return np.concatenate([_encode(books, x[i : i + rows], unit[i : i + rows], eta, sweeps) for i in range(0, len(x), rows)])
 
-def _encode(model_books: np.ndarray, x: np.ndarray, eta: float, sweeps: int) -> np.ndarray:
+
+def _encode(model_books: np.ndarray, x: np.ndarray, unit: np.ndarray, eta: float, sweeps: int) -> np.ndarray:
     m, _, s = model_books.shape
-    parts = x.reshape(len(x), m, s)
-    unit = parts / np.linalg.norm(x, axis=1)[:, None, None]
+    parts, unit = x.reshape(len(x), m, s), unit.reshape(len(x), m, s)
     # per subspace and centre: squared distance, and the residual's part along x
     diff = parts[:, :, None, :] - model_books[None]
     square = (diff**2).sum(3)
@@ -99,14 +114,17 @@ def _encode(model_books: np.ndarray, x: np.ndarray, eta: float, sweeps: int) ->
     return codes.astype(np.uint8)
 
 
-def _learn_books(x: np.ndarray, s: Settings, eta: float, rng: np.random.Generator) -> np.ndarray:
+def _decode(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([books[j][codes[:, j]] for j in range(len(books))], axis=1)
+
+
+def _learn_books(x: np.ndarray, unit: np.ndarray, s: Settings, eta: float, rng: np.random.Generator) -> np.ndarray:
     d = x.shape[1]
     m = d // s.sub
     books = np.stack([_kmeans(x[:, j * s.sub : (j + 1) * s.sub], 16, s.rounds, rng) for j in range(m)])
-    unit = x / np.linalg.norm(x, axis=1)[:, None]
     for _ in range(s.rounds // 2):
-        codes = encode(books, x, eta)
-        resid = x - np.concatenate([books[j][codes[:, j]] for j in range(m)], axis=1)
+        codes = encode(books, x, unit, eta)
+        resid = x - _decode(books, codes)
         total = (resid * unit).sum(1)
         for j in range(m):
             cut = slice(j * s.sub, (j + 1) * s.sub)
@@ -125,15 +143,21 @@ def _learn_books(x: np.ndarray, s: Settings, eta: float, rng: np.random.Generato
     return books
 
 
-def fit(sample: np.ndarray, s: Settings) -> Model:
+def _padded(x: np.ndarray, s: Settings) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, -x.shape[1] % s.sub)))
+
+
+def fit(sample: np.ndarray, ids: np.ndarray, s: Settings) -> Model:
     """On the driver, from the bounded sample only."""
     rng = np.random.default_rng(s.seed)
     d = sample.shape[1]
-    pad = -d % s.sub
-    x = np.pad(sample, ((0, 0), (0, pad)))
     share = s.threshold**2
     eta = max(1.0, (d - 1) * share / (1 - share))
-    return Model(_kmeans(sample, min(s.cells, len(sample)), s.rounds, rng), _learn_books(x, s, eta, rng), eta, d)
+    scale = float(np.abs(sample).max())
+    sample = sample / scale
+    centres = _kmeans(sample, min(s.cells, len(sample)), s.rounds, rng)
+    x = sample - centres[_nearest(sample, centres)]
+    return Model(centres, _learn_books(_padded(x, s), _padded(_unit(sample), s), s, eta, rng), eta, scale, sample, ids)
 
 
 def _pack(codes: np.ndarray) -> np.ndarray:
@@ -147,19 +171,42 @@ def _unpack(packed: np.ndarray, m: int) -> np.ndarray:
     return out[:, :m]
 
 
-def _top(scores: np.ndarray, r: int) -> list[np.ndarray]:
-    """Of each row the columns of its r largest scores, and of all that tie with the last: codes can't tell these apart."""
-    n = scores.shape[1]
-    if n <= r:
-        return [np.arange(n)] * len(scores)
-    edge = np.partition(scores, n - r, axis=1)[:, n - r]
-    return [np.flatnonzero(row >= low) for row, low in zip(scores, edge, strict=True)]
+def least_scores(model: Model, ids: np.ndarray, unit: np.ndarray, k: int) -> np.ndarray:
+    """For each query (a direction) what the k-th best of the sample's other rows scores: its k nearest are no worse."""
+    if len(model.sample) < k:
+        return np.full(len(unit), -np.inf)
+    scores = unit @ model.sample.T
+    scores[ids[:, None] == model.ids[None, :]] = -np.inf
+    return np.partition(scores, len(model.sample) - k, axis=1)[:, len(model.sample) - k]
+
+
+def _candidates(est: np.ndarray, room: np.ndarray, x: np.ndarray, unit: np.ndarray, least: np.ndarray, other: np.ndarray, k: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and row of the pairs that may be among a query's k best of the block.
+
+    ``est`` (queries x rows) is what the codes say and ``room`` how far a row's may be wrong. The r best by codes raise the
+    bound ``least``; what lies above it with its room is measured. Not-a-number rules nothing out.
+    """
+    n = len(x)
+    if n > r:
+        best = np.argpartition(est, n - r, axis=1)[:, n - r :]
+        near = np.einsum("qrd,qd->qr", x[best], unit)
+        near[~np.take_along_axis(other, best, axis=1)] = -np.inf
+        least = np.maximum(least, np.partition(near, r - k, axis=1)[:, r - k])
+    may = other & ~(est + room < least[:, None].astype(np.float32))
+    if may.sum() * 16 < may.size:
+        return np.nonzero(may)
+    scores = unit @ x.T
+    may &= ~(scores + room < least[:, None])
+    if n > k:
+        kth = np.partition(np.where(may, scores, -np.inf), n - k, axis=1)[:, n - k]
+        may &= ~(scores + 1e-9 * np.linalg.norm(x, axis=1) < kth[:, None])
+    return np.nonzero(may)
 
 
 def search(
     vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vec: str = "embedding", settings: Settings = Settings()
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: of each query (``is_query``: a condition on ``key``) the k nearest others found.
+    """query_id, rank (from 1), vec_id, score: of each query (``is_query``: a condition on ``key``) the k nearest others.
 
     * Vectors that are null, zero, or hold a null or non-finite component take no part, as query or candidate; nor do
       vectors of another length than the most frequent one. Other columns are not read.
@@ -176,11 +223,10 @@ def search(
         return empty
     d = lengths["d"]
     rows = rows.where(F.size("vec") == d)
-    drawn = rows.orderBy(F.xxhash64(F.lit(s.seed), "id"), "id").limit(s.sample).select("vec").toArrow()
-    model = fit(drawn.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, d), s)
-    books, pad = model.books, -d % s.sub
-    m = len(books)
-    shared = spark.sparkContext.broadcast(model)  # cells x d and 16 x d numbers
+    drawn = rows.orderBy(F.xxhash64(F.lit(s.seed), "id"), "id").limit(s.sample).select("id", "vec").toArrow()
+    model = fit(drawn.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, d), drawn.column("id").to_numpy(), s)
+    m = len(model.books)
+    shared = spark.sparkContext.broadcast(model)  # (sample + cells + 16) x d numbers
     probes = max(1, min(len(model.centres), round(s.probe * len(model.centres))))
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,32 +235,44 @@ def search(
             if not len(b):
                 continue
             x = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            cell = _nearest(x, mod.centres)
-            packed = _pack(encode(mod.books, np.pad(x, ((0, 0), (0, pad))), mod.eta))
-            yield pd.DataFrame({"id": b["id"], "cell": cell.astype(np.int32), "code": [r.tobytes() for r in packed], "vec": [r.tobytes() for r in x]})
-
-    index = materialize(rows.mapInPandas(code, "id long, cell int, code binary, vec binary"), "ann-index")
+            scaled = x / mod.scale
+            cell = _nearest(scaled, mod.centres)
+            rest = _padded(scaled - mod.centres[cell], s)
+            codes = encode(mod.books, rest, _padded(_unit(scaled), s), mod.eta)
+            far, off = np.linalg.norm(rest, axis=1), np.linalg.norm(rest - _decode(mod.books, codes), axis=1)
+            yield pd.DataFrame({"id": b["id"], "cell": cell.astype(np.int32), "far": far, "off": off, "code": [r.tobytes() for r in _pack(codes)], "vec": [r.tobytes() for r in x]})
+
+    index = materialize(rows.mapInPandas(code, "id long, cell int, far double, off double, code binary, vec binary"), "ann-index")
     # One row per cell: as many as the settings say.
-    blocks = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
+    blocks = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"), F.max("far").alias("reach"))
+    reach = np.zeros(len(model.centres))
+    for r in blocks.collect():
+        reach[r.cell] = r.reach
     hashed = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.col("blocks")).cast("int")
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres = shared.value.centres
-        for b in batches:
-            if not len(b):
-                continue
-            q = np.stack([np.frombuffer(v) for v in b["vec"]])
-            best = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), probes), "vec": np.repeat(b["vec"].to_numpy(), probes), "cell": best.ravel().astype(np.int32)})
-
-    queries = index.where(is_query(F.col("id"))).select("id", "vec").mapInPandas(route, "id long, vec binary, cell int")
+        mod = shared.value
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.iloc[at : at + 256]
+                ids, unit = b["id"].to_numpy(), _unit(np.stack([np.frombuffer(v) for v in b["vec"]]))
+                least = least_scores(mod, ids, unit, k)
+                centre = unit @ mod.centres.T
+                # what rounding may take from a bound
+                slack = 1e-9 * (np.linalg.norm(mod.centres, axis=1) + reach)
+                look = ~(centre + reach + slack < least[:, None])
+                np.put_along_axis(look, np.argsort(-centre, axis=1, kind="stable")[:, :probes], True, axis=1)
+                i, cell = np.nonzero(look)
+                yield pd.DataFrame({"id": ids[i], "vec": b["vec"].to_numpy()[i], "least": least[i], "cell": cell.astype(np.int32)})
+
+    queries = index.where(is_query(F.col("id"))).select("id", "vec").mapInPandas(route, "id long, vec binary, least double, cell int")
     queries = materialize(queries, "ann-queries")
     asked = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.query_block).cast("int").alias("lots"))
-    sizes = F.broadcast(blocks.join(asked, "cell"))
+    sizes = F.broadcast(blocks.drop("reach").join(asked, "cell"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lot = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.col("lots")).cast("int")
-    base = index.join(sizes, "cell").select("id", "cell", "code", "vec", hashed.alias("block"), each("lots").alias("lot"))
-    ask = queries.join(sizes, "cell").select("id", "cell", "vec", lot.alias("lot"), each("blocks").alias("block"))
+    base = index.join(sizes, "cell").select("id", "cell", "far", "off", "code", "vec", hashed.alias("block"), each("lots").alias("lot"))
+    ask = queries.join(sizes, "cell").select("id", "cell", "vec", "least", lot.alias("lot"), each("blocks").alias("block"))
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -222,24 +280,30 @@ def search(
             left = left.sort_values("id", kind="stable")
             # Of equal vectors only the k + 1 smallest ids can be among the nearest k.
             left = left[left.groupby("vec").cumcount() <= k]
-            ids = left["id"].to_numpy()
+            ids, asked_by = left["id"].to_numpy(), right["id"].to_numpy()
             codes = _unpack(np.stack([np.frombuffer(c, np.uint8) for c in left["code"]]), m)
             x = np.stack([np.frombuffer(v) for v in left["vec"]])
             q = np.stack([np.frombuffer(v) for v in right["vec"]])
-            asked_by = right["id"].to_numpy()
             mod = shared.value
-            table = np.einsum("qms,mks->qmk", np.pad(q, ((0, 0), (0, pad))).reshape(len(q), m, s.sub), mod.books).astype(np.float32)
+            scaled, unit, least = x / mod.scale, _unit(q), right["least"].to_numpy()
+            centre = mod.centres[left["cell"].iloc[0]]
+            off = left["off"].to_numpy()
+            # the tables' numbers are single: their rounding is added to the room
+            room = (off + (m + 4) * 2.0**-22 * (np.linalg.norm(centre) + left["far"].to_numpy() + off) + 1e-37).astype(np.float32)
+            table = np.einsum("qms,mks->mkq", _padded(unit, s).reshape(len(q), m, s.sub), mod.books).astype(np.float32)
             for at in range(0, len(q), 64):
-                lut = table[at : at + 64]
-                scores = np.zeros((len(lut), len(ids)), np.float32)
+                lot = slice(at, at + 64)
+                est = np.tile((unit[lot] @ centre).astype(np.float32), (len(ids), 1))
                 for j in range(m):
-                    scores += lut[:, j, :][:, codes[:, j]]
-                scores[asked_by[at : at + 64, None] == ids[None, :]] = -np.inf
-                for i, found in enumerate(_top(scores, k * s.rerank)):
-                    found = found[ids[found] != asked_by[at + i]]
-                    exact = x[found] @ q[at + i]
-                    best = np.lexsort((ids[found], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": asked_by[at + i], "vec_id": ids[found][best], "score": exact[best]}))
+                    est += np.ascontiguousarray(table[j, :, lot])[codes[:, j]]
+                other = asked_by[lot, None] != ids[None, :]
+                i, j = _candidates(np.ascontiguousarray(est.T), room, scaled, unit[lot], least[lot], other, k, k * s.rerank)
+                i = i + at
+                exact = np.einsum("nd,nd->n", x[j], q[i])
+                order = np.lexsort((ids[j], -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append(pd.DataFrame({"query_id": asked_by[i[first]], "vec_id": ids[j[first]], "score": exact[first]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     by = ["cell", "block", "lot"]
