@@ -26,8 +26,8 @@ from .linking import Rule, few, link, measured, overlap_of_hashes
 CHARS, THRESHOLD, BANDS, BAND_ROWS = 5, 80, 9, 5
 #: Classes of the lines' signatures.
 CLASSES = 1024
-#: Characters that are hashed at once, and lines that a task remembers, so that copies in it are posted once.
-CHUNK, DONE = 1 << 19, 200_000
+#: Characters that are hashed at once (what is made of them stays in the cache), and lines that a task remembers, so that copies in it are posted once.
+CHUNK, DONE = 1 << 15, 200_000
 #: Postings that one task of the index sorts, and those that are dealt to the tasks at once.
 BUCKET, DEAL = 1 << 21, 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -39,13 +39,21 @@ def normal_line(line: str) -> str:
 
 def line_item(line: str) -> int:
     """Identity of a normalised line."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")))))
+    return int(line_items([line])[0])
+
+
+def line_items(lines: list[str]) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64).view(np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _GOLD
-    x = (x ^ (x >> np.uint64(29))) * _GOLD
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= _GOLD
+    x ^= x >> np.uint64(29)
+    x *= _GOLD
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def shingle_hashes(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +110,9 @@ def _chunks(lines: list[str], chars: int = CHUNK) -> Iterator[list[str]]:
 def line_sets(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of the lines' character shingles, rising within each line, and the line of each."""
     hashes, line = shingle_hashes(lines, chars)
-    order = np.lexsort((hashes, line))
-    hashes, line = hashes[order], line[order]
+    ends = np.cumsum(np.bincount(line, minlength=len(lines))).tolist()
+    for start, end in zip([0, *ends], ends, strict=False):
+        hashes[start:end].sort()
     new = np.r_[True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])]
     return hashes[new], line[new]
 
@@ -154,7 +163,9 @@ def duplicate_lines(
         same = F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))
         found = texts.join(few(needed, held), same).select("text", "wanted")
         shape = "item long, body string, n int, " + ", ".join(f"{c} long" for c in rule.signature)
-        bodies = materialize(found.mapInArrow(_bodies(chars, rule), shape), "line-bodies").dropDuplicates(["item"])
+        bodies = materialize(found.mapInArrow(_bodies(chars, rule), shape), "line-bodies")
+        if bodies.count() > held:  # rows of the same key and text give their lines again
+            bodies = materialize(bodies.dropDuplicates(["item"]), "line-bodies-once")
 
         def verify(pairs: DataFrame) -> DataFrame:
             return materialize(measured(pairs, bodies.select("item", "body"), overlaps(chars), threshold), "line-tried")
@@ -270,9 +281,10 @@ def _places(chars: int):
                 found = [_lines(t) or [(-1, "")] for t in b.column(2).to_pylist()]
                 sizes = np.array([len(f) for f in found])
                 line = np.array([i for f in found for i, _ in f], np.int32)
-                items = np.array([line_item(x) for f in found for _, x in f], np.int64)
+                bodies = [x for f in found for _, x in f]
+                items = line_items(bodies)
                 fresh_lines: dict[int, str] = {}
-                for item, x in zip(items.tolist(), (x for f in found for _, x in f), strict=True):
+                for item, x in zip(items.tolist(), bodies, strict=True):
                     if x and item not in done:
                         done.add(item)
                         fresh_lines[item] = x
