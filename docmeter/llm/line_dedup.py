@@ -26,8 +26,10 @@ from .linking import Rule, few, link, measured, overlap_of_hashes
 CHARS, THRESHOLD, BANDS, BAND_ROWS = 5, 80, 9, 5
 #: Classes of the lines' signatures.
 CLASSES = 1024
-#: Characters that are hashed at once (what is made of them stays in the cache), and lines that a task remembers, so that copies in it are posted once.
-CHUNK, DONE = 1 << 15, 200_000
+#: Characters that are hashed at once (what is made of them stays in the cache), and those whose bands are formed at once.
+CHUNK, LOT = 1 << 15, 1 << 19
+#: Lines that a task remembers, so that copies in it are posted once.
+DONE = 200_000
 #: Postings that one task of the index sorts, and those that are dealt to the tasks at once.
 BUCKET, DEAL = 1 << 21, 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -77,12 +79,14 @@ def shingle_hashes(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np
 def band_hashes(lines: list[str], chars: int = CHARS, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
     """lines x bands: hashes of bands of the MinHash signature."""
     bins = bands * rows
-    hashes, line = shingle_hashes(lines, chars)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full(len(lines) * bins, empty)
-    own = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    np.minimum.at(least, line * bins + own.astype(np.int64), hashes)
-    least = least.reshape(len(lines), bins)
+    least = np.full((len(lines), bins), empty)
+    done = 0
+    for part in _chunks(lines):
+        hashes, line = shingle_hashes(part, chars)
+        own = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+        np.minimum.at(least[done : done + len(part)].reshape(-1), line * bins + own.astype(np.int64), hashes)
+        done += len(part)
     # an empty bin takes the next full one to the right, around the end, marked by the distance
     place = np.where(least != empty, np.arange(bins), 2 * bins)
     twice = np.concatenate([place, place + bins], axis=1)
@@ -201,7 +205,7 @@ def shared_bands(places: DataFrame) -> DataFrame:
     def packs(tokens: list[np.ndarray], items: list[np.ndarray]) -> pa.RecordBatch:
         token, item = np.concatenate(tokens), np.concatenate(items)
         part = ((token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part)
         found, sizes = np.unique(part[order], return_counts=True)
         offsets = pa.py_buffer(np.r_[0, np.cumsum(sizes * 8)].astype(np.int32))
         data = [pa.Array.from_buffers(pa.binary(), len(found), [None, offsets, pa.py_buffer(x[order])]) for x in (token, item)]
@@ -224,15 +228,23 @@ def shared_bands(places: DataFrame) -> DataFrame:
         more: list[tuple[np.ndarray, np.ndarray]] = []
         size, limit = 0, 2 * BUCKET
 
+        def beside(x: np.ndarray) -> np.ndarray:
+            same = x[1:] == x[:-1]
+            return (np.r_[False, same] | np.r_[same, False])[: len(x)]
+
         def settle() -> Iterator[pa.RecordBatch]:
             nonlocal token, item, known, more, size, limit
             token, item = (np.concatenate([x, *(m[i] for m in more)]) for i, x in enumerate((token, item)))
-            order = np.lexsort((item, token))
+            order = np.argsort(token)
             token, item = token[order], item[order]
-            new = np.r_[True, (token[1:] != token[:-1]) | (item[1:] != item[:-1])][: len(token)]
-            token, item = token[new], item[new]
-            same = token[1:] == token[:-1]
-            several = (np.r_[False, same] | np.r_[same, False])[: len(token)]
+            again = beside(token)
+            # only bands that come again need their lines in order
+            t, i = token[again], item[again]
+            order = np.lexsort((i, t))
+            t, i = t[order], i[order]
+            new = np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1])][: len(t)]
+            token, item = np.r_[token[~again], t[new]], np.r_[item[~again], i[new]]
+            several = beside(token)
             several |= np.isin(token, known)
             known = np.union1d(known, token[several])
             out = token[several].view(np.int64), item[several]
@@ -283,23 +295,20 @@ def _places(chars: int):
                 line = np.array([i for f in found for i, _ in f], np.int32)
                 bodies = [x for f in found for _, x in f]
                 items = line_items(bodies)
-                fresh_lines: dict[int, str] = {}
-                for item, x in zip(items.tolist(), bodies, strict=True):
-                    if x and item not in done:
+                first = []  # places in the batch of lines that weren't seen before
+                for i, item in enumerate(items.tolist()):
+                    if item not in done and bodies[i]:
                         done.add(item)
-                        fresh_lines[item] = x
-                bands = [band_hashes(part, chars) for part in _chunks(list(fresh_lines.values()))]
+                        first.append(i)
+                bands = [band_hashes(part, chars) for part in _chunks([bodies[i] for i in first], LOT)]
                 values = np.concatenate([*bands, np.empty((0, BANDS), np.uint64)]).ravel().view(np.int64)
-                counts, todo = np.zeros(len(items), np.int32), set(fresh_lines)
-                for i, item in enumerate(items.tolist()):
-                    if item in todo:
-                        todo.discard(item)
-                        counts[i] = BANDS
+                counts = np.zeros(len(items), np.int32)
+                counts[first] = BANDS
                 offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
                 row = pa.array(np.repeat(np.arange(b.num_rows), sizes))
                 head = np.zeros(len(line), bool)
                 head[np.cumsum(sizes) - sizes] = True
-                n_lines = np.repeat(np.array([sum(i >= 0 for i, _ in f) for f in found], np.int32), sizes)
+                n_lines = np.repeat(np.array([len(f) if f[0][0] >= 0 else 0 for f in found], np.int32), sizes)
                 columns = [b.column(0).take(row), b.column(1).take(row), pa.array(line), pa.array(items, mask=line < 0), pa.array(n_lines), pa.array(head), pa.ListArray.from_arrays(offsets, pa.array(values))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -320,13 +329,13 @@ def _bodies(chars: int, rule: Rule):
                     lines = text.split("\n")
                     bodies += [normal_line(lines[i]) for i in at[done : done + n]]
                     done += n
-                done = 0
+                n, signs = [np.empty(0, np.int32)], [np.empty((0, len(rule.signature)), np.int64)]
                 for part in _chunks(bodies):
                     hashes, line = line_sets(part, chars)
-                    n = np.bincount(line, minlength=len(part)).astype(np.int32)
-                    signs = rule.sign(hashes, line, len(part))
-                    yield pa.RecordBatch.from_arrays([items.slice(done, len(part)), pa.array(part), pa.array(n), *map(pa.array, np.ascontiguousarray(signs.T))], ["item", "body", "n", *rule.signature])
-                    done += len(part)
+                    n.append(np.bincount(line, minlength=len(part)).astype(np.int32))
+                    signs.append(rule.sign(hashes, line, len(part)))
+                signs = np.ascontiguousarray(np.concatenate(signs).T)
+                yield pa.RecordBatch.from_arrays([items, pa.array(bodies, pa.string()), pa.array(np.concatenate(n)), *map(pa.array, signs)], ["item", "body", "n", *rule.signature])
 
     return run
 
