@@ -15,6 +15,8 @@ PARTICLES = ("DE", "DEL", "LA", "LAS", "LOS", "Y", "MC", "MAC", "VAN", "VON", "D
 #: Characters that optical recognition mixes up, by the first of each class; a later class overrides an earlier one.
 CONFUSED = ("0ODQUC", "1IL|!ÍJ", "5S$", "8BR3E", "6G", "7TF", "2Z", "4A", "UV", "MN", "HN")
 SPACE = r"[\s\x{00A0}]+"
+#: The characters of Unicode's category of space separators.
+SPACES = "".join(chr(c) for c in range(0x3001) if unicodedata.category(chr(c)) == "Zs")
 
 
 def collapse(c: Column) -> Column:
@@ -61,6 +63,13 @@ def plain_text(c: Column) -> Column:
     return F.translate(F.replace(F.lower(collapse(composed(c))), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
+def spaced_small(c: Column) -> Column:
+    """Small letters letter by letter (Σ is σ at the end of a word too), runs of blanks and line ends as one space, no space of any kind around."""
+    for capital, small in (("Σ", "σ"), ("İ", "i")):
+        c = F.replace(c, F.lit(capital), F.lit(small))
+    return F.lower(F.trim(F.regexp_replace(c, r"[ \t\n\f\r]+", " "), F.lit(SPACES)))
+
+
 def address(c: Column) -> Column:
     return plain_text(F.regexp_replace(c, "[,.;]", " "))
 
