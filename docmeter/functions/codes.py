@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,22 +19,34 @@ SKIPPED_NAMES = ("JOSE", "J", "MARIA", "MA", "M")
 MRZ_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _weighted(c: Column, alphabet: str, n: int | Column, weight) -> Column:
-    places = F.sequence(F.lit(1), n if isinstance(n, Column) else F.lit(n))
-    terms = F.transform(places, lambda i: F.greatest(F.lit(0), F.instr(F.lit(alphabet), F.substr(c, i, F.lit(1))) - 1) * weight(i))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _weighted(c: Column, alphabet: str, weights: Callable[[Column], Sequence[Column | int]]) -> Column:
+    """Sum of the characters' places in the alphabet (0 for others) times their weights, right modulo 10.
+
+    Each character becomes the last digit of its place; three at a time are read as a number x. Modulo 10 its digits are x // 100,
+    x // 10 and x. ``weights`` are those of the i-th three, i from 0.
+    """
+    digits = F.regexp_replace(F.translate(c, alphabet + "<", "".join(str(i % 10) for i in range(len(alphabet))) + "0"), "[^0-9]", "0")
+    starts = F.sequence(F.lit(1), F.length(c), F.lit(3))
+    threes = bound(F.concat(digits, F.lit("00")), lambda d: F.transform(starts, lambda i: F.substr(d, i, F.lit(3)).cast("int")))
+    part = lambda x, n: F.call_function("div", x, F.lit(n)) if n > 1 else x
+    terms = F.transform(threes, lambda x, i: sum((part(x, n) * w for n, w in zip((100, 10, 1), weights(i), strict=True)), F.lit(0).cast("long")))
     return F.aggregate(terms, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def curp_check_digit(c17: Column) -> Column:
     """Weights 18 to 2; null unless there are 17 characters of the alphabet."""
-    total = _weighted(c17, CURP_ALPHABET, 17, lambda i: 19 - i)
-    return F.when(c17.rlike("^[0-9A-ZÑ]{17}$"), ((10 - total % 10) % 10).cast("string"))
+    total = lambda c: _weighted(c, CURP_ALPHABET, lambda i: [18 - 3 * i - n for n in range(3)])
+    return bound(c17, lambda c: F.when(c.rlike("^[0-9A-ZÑ]{17}$"), ((10 - total(c) % 10) % 10).cast("string")))
 
 
 def mrz_check_digit(c: Column) -> Column:
     """Weights 7, 3, 1 in turn; the filler and anything unknown counts 0."""
-    weight = lambda i: F.element_at(F.array(F.lit(7), F.lit(3), F.lit(1)), (i - 1) % 3 + 1)
-    return F.when(F.length(c) > 0, (_weighted(c, MRZ_ALPHABET, F.length(c), weight) % 10).cast("string"))
+    return bound(c, lambda c: F.when(F.length(c) > 0, (_weighted(c, MRZ_ALPHABET, lambda i: (7, 3, 1)) % 10).cast("string")))
 
 
 def curp_birth_date(c: Column) -> Column:

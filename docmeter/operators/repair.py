@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from docmeter.functions.codes import CURP_ALPHABET, curp_check_digit, mrz_check_digit
+from docmeter.functions.codes import CURP_ALPHABET, bound, curp_check_digit, mrz_check_digit
 from docmeter.functions.dates import parse_date
 from docmeter.functions.labels import any_like
 from docmeter.functions.text import confusion_class, strip_accents
 from docmeter.operators.fields import TO_DIGIT, TO_LETTER
+from docmeter.sources.tables import fixed
 
 # Confusions that a repair by check digit may undo, the strict form of both codes, and state numbers.
 REPAIR_DIGIT = {"O": "0", "Q": "0", "D": "0", "I": "1", "L": "1", "Z": "2", "S": "5", "B": "8", "G": "6", "T": "7"}
@@ -194,8 +195,7 @@ def with_hints(rows: DataFrame, given: str, first: str, second: str, birth: str,
     """Adds what names, birth date and sex (H, M) tell of a population code. A null or empty name tells nothing, but for an empty
     second surname, which stands as X."""
     words = {"_w1": hint_word(F.col(first)), "_w2": hint_word(F.col(second)), "_wn": given_hint_word(F.col(given))}
-    for c, value in words.items():
-        rows = rows.withColumn(c, F.explode(F.array(value)))
+    rows = fixed(rows, **words)
     w1, w2, wn = map(F.col, words)
     told = lambda known, c: F.when(known, c).otherwise(F.lit("."))
     has_second = F.col(second).isNotNull()
@@ -206,7 +206,7 @@ def with_hints(rows: DataFrame, given: str, first: str, second: str, birth: str,
         F.when(F.col(sex).isin("H", "M"), F.col(sex)).otherwise("."), F.lit(".."),
         told(w1 != "", _consonant(w1)), told(has_second, _consonant(w2)), told(wn != "", _consonant(wn)), F.lit(".."),
     )
-    return rows.withColumn(name, F.explode(F.array(hints))).drop(*words)
+    return fixed(rows, **{name: hints}).drop(*words)
 
 
 def agrees(code: Column, hints: Column) -> Column:
@@ -382,6 +382,22 @@ def _coefficients() -> np.ndarray:
 _WEIGHTS = _coefficients()
 
 
+def _needed() -> np.ndarray:
+    """By place and what the five checks lack without it (as a number of five digits): its value modulo 10, 10 for any, -1 for none."""
+    out = np.full((44, 10**5), -1, np.int8)
+    for place in range(44):
+        if not _WEIGHTS[:, place].any():
+            out[place, 0] = 10
+            continue
+        for x in range(10):
+            out[place, (-_WEIGHTS[:, place] * x) % 10 @ _POWERS] = x
+    return out
+
+
+_POWERS = 10 ** np.arange(4, -1, -1)
+_NEEDED = _needed()
+
+
 def _fillable(lines: np.ndarray, places: np.ndarray) -> list[tuple[int, int, str]]:
     """(row, place, character): what makes all five checks of a line of 44 right if it is written at one of ``places[row]``.
 
@@ -390,13 +406,16 @@ def _fillable(lines: np.ndarray, places: np.ndarray) -> list[tuple[int, int, str
     values = _ZONE_VALUE[lines]
     wrong = ~np.isin(lines[:, _DIGIT_PLACES], _ZONE_CODES[:10])
     row = np.arange(len(lines))[:, None]
-    rest = (values @ _WEIGHTS.T)[:, None, :] - _WEIGHTS.T[places] * values[row, places][:, :, None]
-    right = ((rest[:, :, None, :] + _WEIGHTS.T[places][:, :, None, :] * _ZONE_VALUE[_ZONE_CODES][None, None, :, None]) % 10 == 0).all(3)
+    rest = ((values @ _WEIGHTS.T)[:, None, :] - _WEIGHTS.T[places] * values[row, places][:, :, None]) % 10
+    needed = _NEEDED[places, rest @ _POWERS]
     # Check digits are digits: none may be another sign but the one that is written.
     others = wrong.sum(1)[:, None] - (wrong[:, None, :] & (places[:, :, None] == np.array(_DIGIT_PLACES))).any(2)
-    right &= (others == 0)[:, :, None]
-    right[:, :, 10:] &= ~np.isin(places, _DIGIT_PLACES)[:, :, None]
-    return [(int(r), int(places[r, p]), ZONE_ALPHABET[c]) for r, p, c in np.argwhere(right)]
+    found = []
+    for r, p in np.argwhere((needed >= 0) & (others == 0)):
+        place, x = int(places[r, p]), needed[r, p]
+        signs = ZONE_ALPHABET[:10] if place in _DIGIT_PLACES else ZONE_ALPHABET
+        found += [(int(r), place, c) for c in signs if x == 10 or _ZONE_VALUE[ord(c)] % 10 == x]
+    return found
 
 
 def _zone_valid(line: str) -> bool:
@@ -414,30 +433,54 @@ def _expected_at(place: int, c: str) -> bool:
     return c.isalpha() if place in (10, 11, 12) else c in "MF<" if place == 20 else True
 
 
-def one_edit(line: str) -> str | None:
-    """The valid line of 44 that is one character written, left out or put in away from ``line``, if there is one.
+def _one_edits(lines: Sequence[str]) -> list[str | None]:
+    """Lines of one length: 43, 44 or 45."""
+    n, length = len(lines), len(lines[0])
+    codes = np.frombuffer("".join(lines).encode(), np.uint8).reshape(n, length)
+    found: list[dict[str, tuple[int, str]]] = [{} for _ in lines]
+    if length == 45:
+        cut = codes[:, [[i for i in range(45) if i != out] for out in range(45)]]
+        valid = ~((_ZONE_VALUE[cut] @ _WEIGHTS.T) % 10).any(2) & np.isin(cut[:, :, _DIGIT_PLACES], _ZONE_CODES[:10]).all(2)
+        for r, i in np.argwhere(valid):
+            found[r][lines[r][:i] + lines[r][i + 1 :]] = int(i), ""
+    elif length == 43:
+        holes = np.insert(codes, 0, ord("<"), 1)[:, [[*range(1, at + 1), 0, *range(at + 1, 44)] for at in range(44)]].reshape(-1, 44)
+        for h, p, c in _fillable(holes, np.tile(np.arange(44), n)[:, None]):
+            line = lines[h // 44]
+            found[h // 44][line[:p] + c + line[p:]] = p, c
+    else:
+        for r, p, c in _fillable(codes, np.tile(np.arange(44), (n, 1))):
+            if c != lines[r][p]:
+                found[r][lines[r][:p] + c + lines[r][p + 1 :]] = p, c
+        for r, line in enumerate(lines):
+            if len(found[r]) > 1:
+                found[r] = {x: (p, c) for x, (p, c) in found[r].items() if _expected_at(p, c) and not _expected_at(p, line[p])}
+    return [next(iter(x)) if len(x) == 1 else None for x in found]
+
+
+def one_edits(lines: Sequence[str], batch: int = 512) -> list[str | None]:
+    """For each line the valid line of 44 that is one character written, left out or put in away from it, if there is one.
 
     Of several by writing, the one that puts an expected character in the place of an unexpected one.
     """
-    if any(c not in ZONE_ALPHABET for c in line) or len(line) not in (43, 44, 45):
-        return None
-    if len(line) == 45:
-        found = {x for x in {line[:i] + line[i + 1 :] for i in range(45)} if _zone_valid(x)}
-        return found.pop() if len(found) == 1 else None
-    code = lambda x: np.frombuffer(x.encode(), np.uint8)
-    if len(line) == 43:
-        holes = [line[:i] + "<" + line[i:] for i in range(44)]
-        found = {holes[r][:p] + c + holes[r][p + 1 :] for r, p, c in _fillable(np.stack([*map(code, holes)]), np.arange(44)[:, None])}
-        return found.pop() if len(found) == 1 else None
-    changed = [(p, c) for _, p, c in _fillable(code(line)[None], np.arange(44)[None]) if c != line[p]]
-    if len(changed) > 1:
-        changed = [(p, c) for p, c in changed if _expected_at(p, c) and not _expected_at(p, line[p])]
-    return line[: changed[0][0]] + changed[0][1] + line[changed[0][0] + 1 :] if len(changed) == 1 else None
+    out: list[str | None] = [None] * len(lines)
+    for length in (43, 44, 45):
+        at = [i for i, x in enumerate(lines) if len(x) == length and all(c in ZONE_ALPHABET for c in x)]
+        for first in range(0, len(at), batch):
+            some = at[first : first + batch]
+            for i, x in zip(some, _one_edits([lines[i] for i in some]), strict=True):
+                out[i] = x
+    return out
+
+
+def one_edit(line: str) -> str | None:
+    return one_edits([line])[0]
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def _one_edit_each(lists: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else [one_edit(w) for w in x] for x in lists], dtype=object)
+    found = iter(one_edits([w for x in lists if x is not None for w in x]))
+    return pd.Series([None if x is None else [next(found) for _ in x] for x in lists], dtype=object)
 
 
 def zone_text(text: Column) -> Column:
@@ -468,11 +511,11 @@ def _windows(lines: Column, head: str) -> Column:
 
 def _multiple(window: Column) -> Column:
     """A window with digits where digits belong, no personal number and its own last two digits; null if another check fails."""
-    w = F.rpad(window, 44, "<")
-    digit = lambda i, n: F.translate(F.substring(w, i, n), "".join(REPAIR_DIGIT), "".join(REPAIR_DIGIT.values()))
-    front = F.concat(F.left(w, F.lit(9)), digit(10, 1), F.lit("MEX"), digit(14, 6), digit(20, 1), F.substring(w, 21, 1), digit(22, 6), digit(28, 1), F.lit("<" * 14 + "0"))
-    whole = F.concat(F.left(front, F.lit(10)), F.substring(front, 14, 7), F.substring(front, 22, 22))
-    return F.when(F.length(window) >= 30, F.concat(front, mrz_check_digit(whole)))
+    digit = lambda w, i, n: F.translate(F.substring(w, i, n), "".join(REPAIR_DIGIT), "".join(REPAIR_DIGIT.values()))
+    front = lambda w: F.concat(F.left(w, F.lit(9)), digit(w, 10, 1), F.lit("MEX"), digit(w, 14, 7), F.substring(w, 21, 1), digit(w, 22, 7), F.lit("<" * 14 + "0"))
+    whole = lambda f: F.concat(F.left(f, F.lit(10)), F.substring(f, 14, 7), F.substring(f, 22, 22))
+    told = lambda w: bound(front(w), lambda f: F.concat(f, mrz_check_digit(whole(f))))
+    return F.when(F.length(window) >= 30, bound(F.rpad(window, 44, "<"), told))
 
 
 def zone_names(first: Column, second: Column, given: Column) -> Column:
@@ -493,12 +536,6 @@ def zone_changes(rows: DataFrame, key: str, text: str, fields: str, derived: boo
     names, if a noisy line begins like it (line1_from_fields, derived). Null texts have no lines. ``key`` tells rows apart.
     """
 
-    def fixed(rows: DataFrame, **named: Column) -> DataFrame:
-        """Values as columns of their own that Catalyst does not copy into each place of use."""
-        for name, value in named.items():
-            rows = rows.withColumn(name, F.explode(F.array(value)))
-        return rows
-
     m = F.col(fields)
     squeeze = lambda c: F.regexp_replace(zone_text(c), r"\s+", "")
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), squeeze), lambda x: x != "")
@@ -510,8 +547,8 @@ def zone_changes(rows: DataFrame, key: str, text: str, fields: str, derived: boo
     # Only rows without an exact line are searched for edits.
     r = r.withColumn("_edits", F.array_distinct(F.array_compact(_one_edit_each(F.when(~F.col("_ok2") & F.col("_exact").isNull(), F.col("_strict"))))))
     r = fixed(r, _edit=F.when(F.size("_edits") == 1, F.get("_edits", F.lit(0))))
-    both = F.array_distinct(F.concat("_strict", "_lax"))
-    several = F.get(F.filter(F.transform(both, _multiple), zone_valid), F.lit(0))
+    r = fixed(r, _both=F.array_distinct(F.concat("_strict", "_lax")))
+    several = F.get(F.filter(F.transform("_both", _multiple), zone_valid), F.lit(0))
     number = F.regexp_replace(F.upper(F.coalesce(m["number"], F.lit(""))), "[^A-Z0-9]", "")
     day = lambda f: F.date_format(parse_date(m[f]), "yyMMdd")
     r = fixed(r, _several=F.when(~F.col("_ok2"), several), _number=number, _birth=day("birth"), _expiry=day("expiry"), _sex=F.upper(F.trim(m["sex"])))
@@ -521,7 +558,7 @@ def zone_changes(rows: DataFrame, key: str, text: str, fields: str, derived: boo
     whole = F.concat(F.left("_plain", F.lit(10)), F.substring("_plain", 14, 7), F.substring("_plain", 22, 22))
     r = fixed(r, _built=F.concat("_plain", mrz_check_digit(whole)))
     same = lambda w: F.size(F.filter(F.sequence(F.lit(1), F.lit(28)), lambda i: F.substr(w, i, F.lit(1)) == F.substr("_built", i, F.lit(1))))
-    r = fixed(r, _agreed=F.when(zone_valid(F.col("_built")) & F.exists(both, lambda w: same(w) >= 14), F.col("_built")))
+    r = fixed(r, _agreed=F.when(zone_valid(F.col("_built")) & F.exists("_both", lambda w: same(w) >= 14), F.col("_built")))
 
     expected = F.concat(F.lit("P<MEX"), zone_names(m["first"], m["second"], m["given"]))
     r = fixed(r, _told=expected)

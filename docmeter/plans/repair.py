@@ -11,23 +11,18 @@ from docmeter.functions import text as T
 from docmeter.operators import fields as X
 from docmeter.operators import repair as R
 from docmeter.sources.tables import read_table as table
+from docmeter.sources.tables import fixed as _named
+from docmeter.sources.tables import spread
 
 STATES = list(R.STATES)
 LETTERS_OF = "".join(R.REPAIR_LETTER), "".join(R.REPAIR_LETTER.values())
 DIGITS_OF = "".join(R.REPAIR_DIGIT), "".join(R.REPAIR_DIGIT.values())
 
 
-def _named(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Columns that Catalyst does not copy into each place of use."""
-    for name, value in columns.items():
-        rows = rows.withColumn(name, F.explode(F.array(value)))
-    return rows
-
-
 def people(spark: SparkSession, d: str) -> DataFrame:
     """A person a customer: nation (its number in letters) and segment are the surnames, the region is the given name, all else comes from the key."""
-    c = table(spark, d, "customer").join(table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
-    c = c.join(table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    c = spread(table(spark, d, "customer")).join(F.broadcast(table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey")), "c_nationkey")
+    c = c.join(F.broadcast(table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey")), "n_regionkey")
     k = F.col("c_custkey")
     birth = F.date_add(F.lit("1940-01-01").cast("date"), (k * 7919 % 21000).cast("int"))
     sex = F.when(k % 2 == 0, "H").otherwise("M")

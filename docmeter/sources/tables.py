@@ -18,6 +18,21 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(rows: DataFrame, most: int = 4096) -> DataFrame:
+    """Rows dealt over partitions of about ``most``, for work that is heavy by row: a small file of many rows is one partition else."""
+    parts = rows.count() // most + 1
+    return rows.repartition(parts) if parts > 1 else rows
+
+
+def fixed(rows: DataFrame, **named: Column) -> DataFrame:
+    """Values as columns of their own that Catalyst does not copy into each place of use.
+
+    They are computed in a projection, which is compiled; the generator behind it, which keeps projections apart, would interpret them.
+    """
+    last = next(reversed(named))
+    return rows.withColumns(named).withColumn(last, F.explode(F.array(F.col(last))))
+
+
 def _lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON lines with the file and the line's byte order, malformed ones in a column; blank lines are left out."""
     raw = spark.read.text(path).where(F.trim("value") != "")
