@@ -132,7 +132,7 @@ def record_violations(spark: SparkSession, d: str) -> DataFrame:
     out = []
     for doc_type, fields in RECORDS.items():
         entries = ", ".join(f"'{f}', " + _value(doc_type, f, "array({0})").replace("NO_LINES", "cast(array() as array<string>)") for f in fields)
-        rows = people_.select(F.col("k").alias("c_custkey"), F.explode(F.array(F.expr(f"map({entries})"))).alias("fields"))
+        rows = _named(people_.select(F.col("k").alias("c_custkey"), F.expr(f"map({entries})").alias("fields")), fields=F.col("fields"))
         catalogue = [V.Field(f, lines=len(right) != 1) for f, (right, _) in fields.items()]
         out.append(V.violations(rows, "c_custkey", doc_type, catalogue=catalogue).select("c_custkey", F.lit(doc_type).alias("doc_type"), "rule"))
     return reduce(DataFrame.unionByName, out)

@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import re
 
 import duckdb
 import pytest
@@ -102,3 +103,11 @@ def test_identifier_parts_as_in_sql(spark, office, number):
     row = f"SELECT ['{identifier}'] AS identificador_electronico, ['{office}'] AS oficialia, ['15/03/2001'] AS fecha_registro, ['{number}'] AS numero_acta"
     assert got == duckdb.sql(f"SELECT {sql} FROM ({row})").fetchall()[0][0]
     assert got == number.startswith("12345")
+
+
+def test_rules_are_compiled(spark):
+    """A generator interprets its argument, so none holds a stage's rules."""
+    rows = spark.createDataFrame([(1, {"curp": ["X"]})], "id int, fields map<string,array<string>>")
+    plan = V.violations(rows, "id", "curp", catalogue=[V.Field("curp")])._jdf.queryExecution().optimizedPlan().toString()
+    generators = re.findall(r"Generate .*", plan)
+    assert sum(not re.match(r"Generate explode\(array\(_\w+#\d+\)\)", g) for g in generators) == 1
